@@ -186,6 +186,18 @@ class FieldSet:
         return F.when(~self.any_error(), F.lit("ok")).when(self.any_present(), F.lit("partial")).otherwise(F.lit("failed"))
 
 
+def seal(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Give the named (default: all) columns fresh attributes by a one-row stack().
+
+    Parsing shares intermediate columns over several projections. The optimizer pushes filters, and
+    traces join keys, through projections by unfolding them, which for shared stages grows without
+    bound. A generator ends that: what is above it sees plain columns.
+    """
+    names = names or df.columns
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.stack(F.lit(1), *[F.col(n) for n in names]).alias(*names))
+
+
 def choose(cond: Column, a: Value, b: Value) -> Value:
     number = None
     if a.number is not None and b.number is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions import timefmt
-from eventlake.operators.fieldset import empty_map
+from eventlake.operators.fieldset import empty_map, seal
 from eventlake.operators.parse import ParsedPack, by_pack, compile_packs
 from eventlake.operators.parse_ops import literal_lookup, to_bool, to_float, to_int
 from eventlake.schema import BY_PATH, COLUMNS, SETTABLE_PATHS
@@ -181,7 +181,7 @@ def normalize(df: DataFrame, packs: PackSet, now: Column, text: str = "raw", nod
     out["v_fault"] = F.when(unidentified, F.lit("unknown_source")).when(unmappable, F.lit("missing_mapping"))
 
     names = [c.name for c in COLUMNS if c.name in out] + [n for n in out if n.startswith("v_")]
-    flat = df.select(*[out[n].alias(n) for n in names])
+    flat = seal(df.select(*[out[n].alias(n) for n in names]))
     total = F.coalesce(F.nullif(F.col("network_bytes_total"), F.lit(0)), _sum_if_any("network_bytes_in", "network_bytes_out"))
     skew = timefmt.idiv(F.col("event_ingested_at") - F.col("event_observed_at"), timefmt.NS_PER_MS)
     return flat.withColumns({"network_bytes_total": total, "event_time_skew_ms": F.when(F.col("v_fault").isNull(), skew)})

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.operators.fieldset import FieldSet, Stages, empty_map
+from eventlake.operators.fieldset import FieldSet, Stages, empty_map, seal
 from eventlake.operators.parse_ops import apply_operator
 from eventlake.sources.packs import Pack, PackSet
 
@@ -60,12 +60,13 @@ def parse(df: DataFrame, packs: PackSet, text: str = "raw") -> DataFrame:
     """Add fields MAP, parse_errors and parse_status to rows that carry parser_id."""
     before = df.columns
     df, parsed = compile_packs(df, packs, text)
-    return df.select(
+    out = df.select(
         *before,
         by_pack(parsed, lambda p: p.fields.to_map(), empty_map()).alias("fields"),
         by_pack(parsed, lambda p: p.fields.error_list(), F.array().cast("array<string>")).alias("parse_errors"),
         by_pack(parsed, lambda p: p.fields.status(), F.lit("failed")).alias("parse_status"),
     )
+    return seal(out, ["fields", "parse_errors", "parse_status"])
 
 
 def extract(df: DataFrame, steps: list[dict], dictionaries: dict | None = None, text: str = "raw", names: list[str] | None = None) -> DataFrame:
@@ -75,4 +76,5 @@ def extract(df: DataFrame, steps: list[dict], dictionaries: dict | None = None,
     fs = run_steps(F.col(text), steps, dictionaries or {}, None, stages)
     df = stages.apply(df)
     out = [fs.get(n).text.alias(n) for n in names] if names is not None else [fs.to_map().alias("fields")]
-    return df.select(*before, *out, fs.error_list().alias("parse_errors"), fs.status().alias("parse_status"))
+    result = df.select(*before, *out, fs.error_list().alias("parse_errors"), fs.status().alias("parse_status"))
+    return seal(result, [c for c in result.columns if c not in before])

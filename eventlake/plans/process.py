@@ -38,25 +38,10 @@ class Context:
         return timefmt.to_ns(self.now_ts)
 
 
-# Columns the lookups join on.
-_JOIN_KEYS = ["src_ip", "dst_ip", "src_user", "actor_user", "url_domain", "threat_signature_id"]
-
-
-def _own_attributes(df: DataFrame, names: list[str]) -> DataFrame:
-    """Give columns fresh attributes by a one-row stack().
-
-    Join rules trace a key back through every projection and would unfold the parsers' shared
-    stages into one huge expression; the trace ends at a generator. Other columns stay prunable.
-    """
-    rest = [c for c in df.columns if c not in names]
-    return df.select(*rest, F.stack(F.lit(1), *[F.col(n) for n in names]).alias(*names))
-
-
 def process(df: DataFrame, ctx: Context, text: str = "raw") -> DataFrame:
     """identify, parse, normalize, enrich, validate. Every input row gives one output row."""
     rows = identify(df, ctx.packs, ctx.bindings, text)
     rows = normalize(rows, ctx.packs, ctx.now_ts, text, ctx.node_id)
-    rows = _own_attributes(rows, _JOIN_KEYS)
     rows = enrich(rows, ctx.dims, ctx.enrichers)
     return validate(rows, ctx.now_ns)
 

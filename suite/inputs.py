@@ -146,10 +146,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path(sf_dir, name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that gives fewer tasks than there are cores (one small file); else leave it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """values_sql over the events table."""
     ensure_session(spark)
-    return spark.sql(values_sql(False, "{events}"), events=table(spark, sf_dir, "events"))
+    return spark.sql(values_sql(False, "{events}"), events=spread(table(spark, sf_dir, "events")))
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
