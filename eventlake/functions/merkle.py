@@ -23,14 +23,14 @@ def next_level(level: Column) -> Column:
 
 
 def root(leaves: Column) -> Column:
-    steps = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda h: F.shiftleft(F.lit(1).cast("long"), h) < F.size(leaves))
+    steps = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h) < F.size(leaves))
     top = F.aggregate(steps, leaves, lambda level, _: next_level(level))
     return F.when(F.size(leaves) > 0, F.get(top, F.lit(0)))
 
 
 def levels(leaves: Column) -> Column:
     """ARRAY of levels from the leaves to just below the root."""
-    steps = F.filter(F.sequence(F.lit(1), F.lit(30)), lambda h: F.shiftleft(F.lit(1).cast("long"), h) < F.size(leaves))
+    steps = F.filter(F.sequence(F.lit(1), F.lit(30)), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h) < F.size(leaves))
     start = F.array(leaves)
     return F.when(
         F.size(leaves) > 1,

@@ -1,43 +1,38 @@
 """Flatten XML text to a map. Element names are not known up front, which built-ins need."""
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-
-def _flatten(text: str | None) -> dict[str, str] | None:
-    from xml.etree import ElementTree
-
-    if text is None:
-        return None
-    try:
-        root = ElementTree.fromstring(text)
-    except ElementTree.ParseError:
-        return None
-    out: dict[str, str] = {}
-    stack = [(root, _local(root.tag))]
-    while stack:
-        node, path = stack.pop()
-        for name, value in node.attrib.items():
-            out[f"{path}_{_local(name)}"] = value
-        children = list(node)
-        if children:
-            stack.extend((child, f"{path}.{_local(child.tag)}") for child in reversed(children))
-        elif node.text and node.text.strip():
-            out[path] = node.text.strip()
-    return out
-
-
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
-
-
-@F.pandas_udf("map<string,string>")
-def _xml_map(texts: pd.Series) -> pd.Series:
-    return texts.map(_flatten)
+from pyspark.sql import types as T
 
 
 def xml_to_map(text: Column) -> Column:
-    return _xml_map(text)
+    """MAP of leaf paths and attributes, NULL when the text is not well-formed XML."""
+
+    # nested, so it travels to executors by value
+    def flatten(doc):
+        from xml.etree import ElementTree
+
+        if doc is None:
+            return None
+        try:
+            root = ElementTree.fromstring(doc)
+        except ElementTree.ParseError:
+            return None
+        out: dict[str, str] = {}
+        stack = [(root, root.tag.rsplit("}", 1)[-1])]
+        while stack:
+            node, path = stack.pop()
+            for name, value in node.attrib.items():
+                out[f"{path}_{name.rsplit('}', 1)[-1]}"] = value
+            children = list(node)
+            if children:
+                stack.extend((child, f"{path}.{child.tag.rsplit('}', 1)[-1]}") for child in reversed(children))
+            elif node.text and node.text.strip():
+                out[path] = node.text.strip()
+        return out
+
+    def convert(texts: pd.Series) -> pd.Series:
+        return texts.map(flatten)
+
+    return F.pandas_udf(convert, T.MapType(T.StringType(), T.StringType()))(text)

@@ -17,18 +17,14 @@ ROWS_PER_FILE = 200_000
 Sink = Callable[[DataFrame], None]
 
 
-def clustered(df: DataFrame, writers_per_partition: int = 16) -> DataFrame:
-    """Group rows of a partition and sort them by destination and time for row-group pruning.
+def clustered(df: DataFrame) -> DataFrame:
+    """Bring the rows of a partition together and sort them by destination and time.
 
-    One hour of one vendor may be most of the data, so each partition is spread over several tasks
-    by destination; equal destinations stay together and keep min/max ranges tight.
+    rebalance lets adaptive execution split a partition that is too large (one hour of one vendor may be
+    most of the data) and merge small ones, so neither a giant task nor tiny files result.
     """
-    spread = F.pmod(F.xxhash64("dst_ip", F.pmod(F.col("event_observed_at"), F.lit(writers_per_partition))), F.lit(writers_per_partition))
-    return (
-        df.withColumn("__w", spread)
-        .repartition(*PARTITIONS, "__w")
-        .drop("__w")
-        .sortWithinPartitions(*PARTITIONS, "dst_ip", "event_observed_at")
+    return df.hint("rebalance", *[F.col(c) for c in PARTITIONS]).sortWithinPartitions(
+        *PARTITIONS, "dst_ip", "event_observed_at"
     )
 
 

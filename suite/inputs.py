@@ -6,6 +6,8 @@ DuckDB both run, so a query and its check start from the same text.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import lru_cache
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from eventlake import ensure_session
 from eventlake.operators.enrich import Dimensions
-from eventlake.plans.process import Context, lake_rows, process
+from eventlake.plans.process import Context, flat_columns, process, with_partitions
 from eventlake.sources.packs import load_packs
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -233,17 +235,45 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     return Context(packs=packs(), dims=dimensions(spark, sf_dir), now=NOW, node_id="node-1")
 
 
-_ROWS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of the events table, processed to the end (a lazy plan, analysed once)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ROWS:
-        _ROWS[key] = process(raw_events(spark, sf_dir), context(spark, sf_dir))
+def _shared_root(spark: SparkSession) -> str | None:
+    """The cluster's shared folder; a temporary one only where there is no cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/eventlake-{spark.sparkContext.applicationId}"
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local") else None
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per application and read back, as a lake is.
+
+    Without a shared folder on a cluster it stays a lazy plan.
+    """
     ensure_session(spark)
-    return _ROWS[key]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        root = _shared_root(spark)
+        df = build()
+        if root is None:
+            return df
+        target = f"{root}/{sf_dir.strip('/').replace('/', '_')}/{name}"
+        writer = df.hint("rebalance", F.col("dt")).sortWithinPartitions("dt") if "dt" in df.columns else df
+        out = writer.write.mode("overwrite")
+        (out.partitionBy("dt") if "dt" in df.columns else out).parquet(target)
+        _STORED[key] = target
+    df = spark.read.parquet(_STORED[key])
+    return df.withColumn("dt", F.date_format("dt", "yyyy-MM-dd")) if dict(df.dtypes).get("dt") == "date" else df
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the events table, processed to the end, with its partition columns."""
+    build = lambda: with_partitions(process(raw_events(spark, sf_dir), context(spark, sf_dir)))
+    return stored(spark, sf_dir, "event_rows", build)
 
 
 def lake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lake_rows(event_rows(spark, sf_dir))
+    """The event table: flat columns and partition columns."""
+    rows = event_rows(spark, sf_dir)
+    return rows.select(*flat_columns(rows), "dt", "hour", "vendor")
