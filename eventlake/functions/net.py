@@ -82,10 +82,14 @@ def in_v6_cidrs(ip_hex: Column, cidrs: tuple[str, ...] | list[str]) -> Column:
     return hit
 
 
-def is_internal(ip: Column, extra: tuple[str, ...] | list[str] = ()) -> Column:
-    """True/False for a valid address, NULL when absent or not an address."""
+def is_internal(ip: Column, extra: tuple[str, ...] | list[str] = (), number: Column | None = None) -> Column:
+    """True/False for a valid address, NULL when absent or not an address.
+
+    `number` is the IPv4 value where a column already holds it; every range compares it again.
+    """
     cidrs = [*INTERNAL_CIDRS, *extra]
-    v4 = F.when(is_ipv4(ip), in_cidrs(ipv4_to_long(ip), cidrs))
+    number = ipv4_to_long(ip) if number is None else number
+    v4 = F.when(number.isNotNull(), in_cidrs(number, cidrs))
     if any(":" in c for c in extra):
         v6 = F.when(is_ipv6(ip), in_v6_cidrs(ipv6_to_hex(ip), cidrs))
     else:

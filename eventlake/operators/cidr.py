@@ -83,11 +83,22 @@ def _v6_prefix(hexed: Column, plen: int) -> Column:
     return F.concat(head, F.lit("/"), F.shiftright(nibble, 4 - bits).cast("string"))
 
 
-def cidr_lookup(df: DataFrame, table: CidrTable, ip: str, names: dict[str, str], spread: Column | None = None) -> DataFrame:
-    """Add payload columns (`names`: payload column -> output column) for the first network holding `ip`."""
+def cidr_lookup(
+    df: DataFrame,
+    table: CidrTable,
+    ip: str,
+    names: dict[str, str],
+    spread: Column | None = None,
+    number: str | None = None,
+) -> DataFrame:
+    """Add payload columns (`names`: payload column -> output column) for the first network holding `ip`.
+
+    `number` names a column with the IPv4 value, when there is one.
+    """
     keep = df.columns
-    number = "__ipn"
-    df = df.withColumn(number, ipv4_to_long(F.col(ip)))
+    if number is None:
+        number = "__ipn"
+        df = df.withColumn(number, ipv4_to_long(F.col(ip)))
     hits: list[str] = []
     for w, level in table.levels.items():
         key = F.call_function("shiftright", F.col(number), F.lit(32 - w))

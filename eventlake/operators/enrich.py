@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.functions.net import is_internal
+from eventlake.functions.net import ipv4_to_long, is_internal
 from eventlake.operators.cidr import CidrTable, build_cidr_table, cidr_lookup
 from eventlake.operators.lookup import LookupTable, last_wins, lookup_join, lookup_table
 
@@ -66,21 +66,31 @@ class Dimensions:
         )
 
 
+def _number(df: DataFrame, side: str) -> str | None:
+    name = f"__{side}_n"
+    return name if name in df.columns else None
+
+
 def geo(df: DataFrame, table: CidrTable) -> DataFrame:
     for side in ("src", "dst"):
         names = {"country": f"enrich_{side}_geo_country", "city": f"enrich_{side}_geo_city"}
-        df = cidr_lookup(df, table, f"{side}_ip", names)
+        df = cidr_lookup(df, table, f"{side}_ip", names, number=_number(df, side))
     return df
 
 
 def asn(df: DataFrame, table: CidrTable) -> DataFrame:
     for side in ("src", "dst"):
-        df = cidr_lookup(df, table, f"{side}_ip", {"asn": f"enrich_{side}_asn", "as_org": f"enrich_{side}_as_org"})
+        names = {"asn": f"enrich_{side}_asn", "as_org": f"enrich_{side}_as_org"}
+        df = cidr_lookup(df, table, f"{side}_ip", names, number=_number(df, side))
     return df
 
 
 def internal(df: DataFrame, extra: list[str] = ()) -> DataFrame:
-    return df.withColumns({f"enrich_{s}_is_internal": is_internal(F.col(f"{s}_ip"), extra) for s in ("src", "dst")})
+    def flag(side: str) -> Column:
+        number = _number(df, side)
+        return is_internal(F.col(f"{side}_ip"), extra, F.col(number) if number else None)
+
+    return df.withColumns({f"enrich_{s}_is_internal": flag(s) for s in ("src", "dst")})
 
 
 def asset(df: DataFrame, table: LookupTable) -> DataFrame:
@@ -169,8 +179,11 @@ def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = ()) -> DataF
     if dims.mitre:
         steps.append(lambda d: mitre(d, dims.mitre))
     missing = {"enrich_ioc_match": F.lit(None).cast("boolean")}
+    # the numeric addresses are computed once and shared by every range lookup
+    df = df.withColumns({f"__{s}_n": ipv4_to_long(F.col(f"{s}_ip")) for s in ("src", "dst")})
     for step in [*steps, *extra]:
         df = df.transform(step)
+    df = df.drop("__src_n", "__dst_n")
     for name, empty in missing.items():
         if name not in df.columns:
             df = df.withColumn(name, empty)

@@ -22,8 +22,12 @@ class LookupTable:
 
 
 def lookup_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> LookupTable:
-    """Count at most `limit` + 1 rows to decide whether a broadcast is bounded."""
-    return LookupTable(df, df.limit(limit + 1).count() <= limit)
+    """Count at most `limit` + 1 rows to decide whether a broadcast is bounded.
+
+    A table that passes is kept cached: it is small, and every lookup and every run reads it again.
+    """
+    small = df.limit(limit + 1).count() <= limit
+    return LookupTable(df.persist() if small else df, small)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:

@@ -17,24 +17,29 @@ ROWS_PER_FILE = 200_000
 Sink = Callable[[DataFrame], None]
 
 
-def clustered(df: DataFrame) -> DataFrame:
+def clustered(df: DataFrame, partitions: list[str] = PARTITIONS) -> DataFrame:
     """Bring the rows of a partition together and sort them by destination and time.
 
     rebalance lets adaptive execution split a partition that is too large (one hour of one vendor may be
     most of the data) and merge small ones, so neither a giant task nor tiny files result.
     """
-    return df.hint("rebalance", *[F.col(c) for c in PARTITIONS]).sortWithinPartitions(
-        *PARTITIONS, "dst_ip", "event_observed_at"
+    return df.hint("rebalance", *[F.col(c) for c in partitions]).sortWithinPartitions(
+        *partitions, "dst_ip", "event_observed_at"
     )
 
 
-def write_lake(df: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
-    """Validated rows to Parquet under dt/hour/vendor of the event's own time."""
+def write_lake(
+    df: DataFrame, path: str, mode: str = "append", cluster: bool = True, partitions: list[str] = PARTITIONS
+) -> None:
+    """Validated rows to Parquet under dt/hour/vendor of the event's own time.
+
+    Lakes with few rows per hour can partition by dt alone; hour and vendor then stay ordinary columns.
+    """
     rows = lake_rows(df)
-    rows = clustered(rows) if cluster else rows
+    rows = clustered(rows, partitions) if cluster else rows
     (
         rows.write.mode(mode)
-        .partitionBy(*PARTITIONS)
+        .partitionBy(*partitions)
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .option("compression", "zstd")
         .parquet(path)
