@@ -87,7 +87,7 @@ def test_cidr_first_listed_wins_brute_force(spark, limit, monkeypatch):
         want = None
         if r.ip and r.ip != "bad":
             a = ipaddress.ip_address(r.ip)
-            inside = [o for c, o in nets if ipaddress.ip_network(c).version == a.version and a in ipaddress.ip_network(c)]
+            inside = [o for c, o in nets if ipaddress.ip_network(c, strict=False).version == a.version and a in ipaddress.ip_network(c, strict=False)]
             want = f"n{min(inside)}" if inside else None
         assert r.hit == want, r.ip
 
