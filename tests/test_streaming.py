@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 
 from eventlake.plans.process import Context, process
 from eventlake.sources import readers
+from eventlake.sources.packs import load_packs
 from eventlake.streaming import jobs
 
 NOW = datetime(2026, 9, 8, tzinfo=timezone.utc)
@@ -12,6 +13,11 @@ SCHEMA = "event_id string, raw string, received_at long"
 KV = '<189>devname="f" type="traffic" eventtime=1788789731 srcip=8.8.8.{n} srcport=1 dstip=10.0.0.1 dstport=443 action="deny" proto=6 sentbyte=1 rcvdbyte=2'
 
 
+def context():
+    # one pack keeps the plan of each micro-batch small
+    return Context(packs=load_packs().only("fortinet.fortigate.traffic"), now=NOW)
+
+
 def put(spark, path, rows, schema=SCHEMA):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(path))
 
@@ -20,9 +26,9 @@ def test_batch_and_stream_agree(spark, tmp_path):
     rows = [(f"e{i}", KV.format(n=i) if i % 3 else "junk", 1788789740000000000) for i in range(9)]
     put(spark, tmp_path / "in", rows)
     stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
-    job = jobs.run_events(jobs.dedupe(stream), lambda: Context(now=NOW), str(tmp_path / "lake"), str(tmp_path / "dlq"), str(tmp_path / "cp"))
+    job = jobs.run_events(jobs.dedupe(stream), context, str(tmp_path / "lake"), str(tmp_path / "dlq"), str(tmp_path / "cp"))
     job.start().awaitTermination(120)
-    want = process(spark.createDataFrame(rows, SCHEMA), Context(now=NOW))
+    want = process(spark.createDataFrame(rows, SCHEMA), context())
     cols = ["event_id", "event_action", "src_ip", "quality_score"]
     got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "lake"))
     assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(map(tuple, want.select(*cols).collect()), key=str)
@@ -37,8 +43,10 @@ def test_multiline_state(spark, tmp_path):
     put(spark, tmp_path / "in", [("a", 0, "START 1"), ("a", 1, " x"), ("a", 2, "START 2"), ("a", 3, " y"), ("a", 4, "START 3")], schema)
     stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     q = jobs.multiline(stream, "^START").writeStream.format("memory").queryName("ml").outputMode("append")
-    q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    # an idle timeout keeps the query alive, so it is stopped rather than awaited
+    q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
     assert sorted(r.payload for r in spark.table("ml").collect()) == ["START 1\n x", "START 2\n y"]
 
 
