@@ -1,5 +1,6 @@
 """Streams give what the batch transform gives."""
 
+import time
 from datetime import datetime, timezone
 
 
@@ -43,9 +44,12 @@ def test_multiline_state(spark, tmp_path):
     put(spark, tmp_path / "in", [("a", 0, "START 1"), ("a", 1, " x"), ("a", 2, "START 2"), ("a", 3, " y"), ("a", 4, "START 3")], schema)
     stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     q = jobs.multiline(stream, "^START").writeStream.format("memory").queryName("ml").outputMode("append")
-    # an idle timeout keeps the query alive, so it is stopped rather than awaited
+    # the idle timeout keeps running empty batches, so wait for the rows and stop
     q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    for _ in range(60):
+        if spark.table("ml").count() == 2:
+            break
+        time.sleep(0.5)
     q.stop()
     assert sorted(r.payload for r in spark.table("ml").collect()) == ["START 1\n x", "START 2\n y"]
 
