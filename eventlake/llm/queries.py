@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import quality
-from eventlake.llm.common import table
+from eventlake.llm import decontam, quality, secrets, warc
+from eventlake.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +18,11 @@ ORACLE: dict[str, str] = {}
 QUALITY_CUT = 0.3
 
 
+def count_of(kind: str) -> Column:
+    """Number of spans of a kind."""
+    return F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long")
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -33,3 +38,70 @@ def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
     )
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.mark(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+)
+ORACLE["op1_decontaminate"] = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, ws[i:i + 9] AS w FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+pos AS (SELECT doc_id, n, i, ws[i:i + n - 1] AS w
+        FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT len(w) AS n FROM win) WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, n, i, item FROM pos JOIN win USING (w)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS named
+          FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.index(spark, path).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+ORACLE["op2_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+f AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
+r AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS origin FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN origin <> page_id THEN origin END AS refers_to
+FROM r"""
+
+
+@query
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = scratch(spark)
+    secrets.scan_unseen(docs, ledger)
+    base = [r.name for r in secrets.BASE]
+    own = F.filter("spans", lambda x: x.kind.isin(base))
+    counts = [count_of(k).alias(f"n_{k}") for k in base]
+    found = secrets.findings(docs, ledger)
+    return found.select("doc_id", *counts, F.sha2(secrets.text_of(own), 256).alias("base_sha256"), secrets.text_of(F.col("spans")).alias("spans"))
