@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import decontam, quality, secrets, warc
+from eventlake.llm import ann, decontam, mixing, orderhash, pii, quality, secrets, suffixes, toxicity, warc
 from eventlake.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,44 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count_of(k).alias(f"n_{k}") for k in base]
     found = secrets.findings(docs, ledger)
     return found.select("doc_id", *counts, F.sha2(secrets.text_of(own), 256).alias("base_sha256"), secrets.text_of(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffixes.remove(docs, suffixes.LENGTH, keep_first=False, keep=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return orderhash.classes(docs).select("doc_id", "class_id")
+
+
+@query
+def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id")))
+    s = toxicity.Settings()
+    chain = toxicity.train(toxicity.sample_of(docs, labels, s), s)
+    scored = toxicity.with_probabilities(docs, chain)
+    return scored.select("doc_id", *(f"p_{c}" for c in toxicity.CATEGORIES), toxicity.is_toxic().alias("toxic"))
+
+
+@query
+def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.mark(docs, pii.train(docs))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
