@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 # A control character that separates captured groups inside one replace result.
 GROUP_SEP = "\x01"
 
-_NESTED_QUANTIFIER = re.compile(r"\([^()]*[+*]\)[+*]")
 _NAMED_GROUP = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
 _POSIX_CLASS = {
     "alnum": r"\p{Alnum}",
@@ -30,6 +30,62 @@ class UnsafePattern(ValueError):
     """The pattern could backtrack without bound."""
 
 
+def ambiguous(pattern: str) -> bool:
+    """Whether some unbounded repeat can split a text between its rounds in more than one way.
+
+    Judged on the parsed pattern: the body of such a repeat must neither begin or end with an unbounded repeat of
+    its own, nor offer alternatives that begin with the same literal or are equal. Patterns that this parser does not
+    know are left to the JVM.
+    """
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return False
+    return any(_loose(body) for body in _repeated(tree))
+
+
+def _unbounded(op: object, arg: tuple) -> bool:
+    return op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[1] == _parser.MAXREPEAT
+
+
+def _children(op: object, arg: object) -> list:
+    """Sub-patterns of a node."""
+    if op is _parser.SUBPATTERN:
+        return [arg[-1]]
+    if op is _parser.BRANCH:
+        return list(arg[1])
+    if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT):
+        return [arg[2]]
+    return [arg[1]] if op in (_parser.ASSERT, _parser.ASSERT_NOT) else []
+
+
+def _repeated(tree: list) -> list:
+    """Bodies of all unbounded repeats."""
+    out = []
+    for op, arg in tree:
+        if _unbounded(op, arg):
+            out.append(arg[2])
+        for child in _children(op, arg):
+            out += _repeated(child)
+    return out
+
+
+def _loose(body: list) -> bool:
+    nodes = list(body)
+    if not nodes:
+        return False
+    for op, arg in (nodes[0], nodes[-1]):
+        if _unbounded(op, arg):
+            return True
+        if op is _parser.SUBPATTERN and _loose(arg[-1]):
+            return True
+        if op is _parser.BRANCH:
+            heads = [str(list(b)[:1]) for b in arg[1]]
+            if len(set(heads)) < len(heads) or any(_loose(b) for b in arg[1]):
+                return True
+    return False
+
+
 @dataclass(frozen=True)
 class JavaPattern:
     pattern: str  # JVM syntax, groups made positional
@@ -43,8 +99,8 @@ class JavaPattern:
 
 def to_java(pattern: str) -> JavaPattern:
     """Translate syntax differences: named groups, `$` at end of text, POSIX classes."""
-    if _NESTED_QUANTIFIER.search(pattern):
-        raise UnsafePattern(f"nested quantifier in {pattern!r}")
+    if ambiguous(pattern):
+        raise UnsafePattern(f"a repeated part of {pattern!r} can match the same text in several ways")
     out: list[str] = []
     names: list[str | None] = []
     i, in_class = 0, False

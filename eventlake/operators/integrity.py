@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.functions import merkle, timefmt
-from eventlake.operators.lookup import lookup_join, lookup_table
 
 SEGMENT_BYTES = 64 * 1024 * 1024
 SEGMENT_EVENTS = 50_000
@@ -58,9 +57,8 @@ def segments(
     sizes = rows.groupBy("dt", "__slot").agg(
         F.ceil(F.greatest(F.count("*") / F.lit(max_events), F.sum("raw_length") / F.lit(max_bytes))).alias("__buckets")
     )
-    # one row per time slot: bounded by the time range, and checked before it is broadcast
-    table = lookup_table(sizes)
-    rows = lookup_join(rows, table, {"dt": "dt", "__slot": "__slot"}, {"__buckets": "__buckets"}, F.xxhash64("event_id"))
+    # one row of 30 bytes per time slot, 288 a day by default: bounded by the time range, not by the events
+    rows = rows.join(F.broadcast(sizes), ["dt", "__slot"])
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("event_id"), F.col("__buckets").cast("long")))
     order = Window.partitionBy("dt", "__slot", "__bucket").orderBy("received_at", "event_id")
     before = F.coalesce(F.sum("raw_length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -139,22 +137,37 @@ def overall(report: DataFrame) -> DataFrame:
 
 
 def proofs(refs: DataFrame) -> DataFrame:
-    """Inclusion proof of every event: leaf, index, path, root."""
+    """Inclusion proof of every event: leaf, index, path, root.
+
+    Trees are laid out as one row per node; a leaf finds its sibling on each level by an equi-join, so a segment of n
+    events makes n log n narrow rows and no event carries the tree.
+    """
     leaf = F.struct(F.col("raw_seq").alias("seq"), F.col("raw_sha256").alias("sha"))
-    trees = refs.groupBy("raw_segment_id").agg(
+    trees = refs.groupBy(F.col("raw_segment_id").alias("__seg")).agg(
         F.sort_array(F.collect_list(F.struct(leaf.alias("leaf"), F.col("event_id").alias("id")))).alias("__rows")
     )
     hashes = F.transform("__rows", lambda r: r["leaf"]["sha"])
-    trees = trees.withColumns({"__levels": merkle.levels(hashes), "root": merkle.root(hashes)})
-    rows = trees.select("raw_segment_id", "root", "__levels", F.posexplode("__rows").alias("index", "__row"))
-    return rows.select(
-        "raw_segment_id",
-        F.col("__row.id").alias("event_id"),
-        "index",
-        F.col("__row.leaf.sha").alias("leaf"),
-        merkle.proof(F.col("__levels"), F.col("index")).alias("path"),
-        "root",
-    )
+    leaves = trees.select("__seg", F.posexplode("__rows").alias("index", "__row"))
+    leaves = leaves.select("__seg", F.col("__row.id").alias("event_id"), "index", F.col("__row.leaf.sha").alias("leaf"))
+    levels = trees.select("__seg", merkle.root(hashes).alias("root"), merkle.levels(hashes).alias("__levels"))
+    roots = levels.select(F.col("__seg").alias("__s"), "root", F.size("__levels").alias("__depth"), F.size(F.get("__levels", F.lit(0))).alias("__n"))
+    nodes = levels.select("__seg", F.posexplode("__levels").alias("__k", "__level"))
+    nodes = nodes.select(F.col("__seg").alias("__t"), F.col("__k").alias("__h"), F.posexplode("__level").alias("__at", "sibling"))
+    rows = leaves.join(roots, F.col("__seg") == F.col("__s")).drop("__s")
+    step = F.when(F.col("__depth") > 0, F.sequence(F.lit(0), F.col("__depth") - F.lit(1)))
+    walk = rows.withColumn("__k", F.explode(step))
+    own = F.call_function("shiftright", F.col("index"), F.col("__k"))
+    # width of a level: each is half of the one below, rounded up
+    width = F.ceil(F.col("__n") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__k")))
+    even = own % F.lit(2) == F.lit(0)
+    beside = F.when(even, F.least(own + F.lit(1), width - F.lit(1))).otherwise(own - F.lit(1))
+    walk = walk.select("__seg", "index", "__k", beside.cast("int").alias("__b"), F.when(even, "right").otherwise("left").alias("side"))
+    met = walk.join(nodes, (F.col("__seg") == F.col("__t")) & (F.col("__k") == F.col("__h")) & (F.col("__b") == F.col("__at")))
+    paths = met.groupBy("__seg", "index").agg(F.sort_array(F.collect_list(F.struct("__k", "sibling", "side"))).alias("__p"))
+    paths = paths.select("__seg", "index", F.transform("__p", lambda s: F.struct(s["sibling"].alias("sibling"), s["side"].alias("side"))).alias("path"))
+    none = F.array().cast("array<struct<sibling:string,side:string>>")
+    out = rows.join(paths, ["__seg", "index"], "left")
+    return out.select(F.col("__seg").alias("raw_segment_id"), "event_id", "index", "leaf", F.coalesce("path", none).alias("path"), "root")
 
 
 def check_proofs(df: DataFrame) -> DataFrame:

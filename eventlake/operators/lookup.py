@@ -1,4 +1,4 @@
-"""Lookup joins: a dimension of checked size is broadcast, a larger one meets salted facts."""
+"""Lookup joins: a dimension whose estimated bytes are bounded is broadcast, a larger one is joined by shuffle."""
 
 from __future__ import annotations
 
@@ -7,26 +7,34 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows up to which a dimension row set (keys plus a few short columns) is broadcast.
-BROADCAST_ROWS = 200_000
-# Copies of a larger dimension, so one hot fact key spreads over this many tasks.
-SALT = 16
+# Bytes, as the optimizer estimates them, up to which a dimension is broadcast.
+BROADCAST_BYTES = 64 << 20
+# Fact rows without a key match nothing; in a shuffle they are dealt over this many groups.
+SPREAD = 256
 
 
 @dataclass(frozen=True)
 class LookupTable:
-    """A dimension with one row per key and the verdict of its size check."""
+    """A dimension with one row per key and the verdict of its size check. A small one is cached until released."""
 
     df: DataFrame
     small: bool
 
+    def release(self) -> None:
+        self.df.unpersist()
 
-def lookup_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> LookupTable:
-    """Count at most `limit` + 1 rows to decide whether a broadcast is bounded.
 
-    A table that passes is kept cached: it is small, and every lookup and every run reads it again.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate for a plan; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def lookup_table(df: DataFrame, limit: int | None = None) -> LookupTable:
+    """Decide by estimated bytes whether a broadcast is bounded; building the plan runs no job.
+
+    A table that passes is cached when first used: it is small, and every lookup and every run reads it again.
     """
-    small = df.limit(limit + 1).count() <= limit
+    small = estimated_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
     return LookupTable(df.persist() if small else df, small)
 
 
@@ -53,7 +61,7 @@ def lookup_join(
     """Left join that can neither drop nor multiply fact rows.
 
     keys: dimension column -> fact column (or expression); columns: dimension column -> new name.
-    spread: expression that varies between rows of one key; needed only for large dimensions.
+    spread: expression that varies between rows without a key; used only for large dimensions.
     """
     exprs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in keys.items()}
     dim = table.df.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(c).alias(n) for c, n in columns.items()])
@@ -62,7 +70,11 @@ def lookup_join(
     helper = [f"__f_{k}" for k in keys] + [f"__k_{k}" for k in keys]
     if table.small:
         return left.join(F.broadcast(dim), on, "left").drop(*helper)
-    salt = F.pmod(spread if spread is not None else F.xxhash64(*facts.columns[:1]), F.lit(SALT)).cast("int")
-    copies = dim.withColumn("__ks", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    left = left.withColumn("__fs", salt)
-    return left.join(copies, [*on, F.col("__fs") == F.col("__ks")], "left").drop(*helper, "__fs", "__ks")
+    # rows without a key are kept out of the one task where they would meet; hot keys are split by the adaptive planner
+    some = spread if spread is not None else F.xxhash64(*facts.columns[:1])
+    lost = F.lit(False)
+    for k in keys:
+        lost = lost | F.col(f"__f_{k}").isNull()
+    left = left.withColumn("__fs", F.when(lost, F.pmod(some, F.lit(SPREAD)) + F.lit(1)).otherwise(F.lit(0)))
+    dim = dim.withColumn("__ks", F.lit(0).cast("long"))
+    return left.join(dim, [*on, F.col("__fs") == F.col("__ks")], "left").drop(*helper, "__fs", "__ks")

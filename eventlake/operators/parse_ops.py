@@ -230,10 +230,14 @@ def _grok(fs: FieldSet, spec: Spec, _: Dictionaries) -> Column:
 
 @operator("json")
 def _json(fs: FieldSet, spec: Spec, _: Dictionaries) -> Column:
-    """Top-level object; nested values stay JSON text, nulls count as absent."""
+    """Top-level object; nested values stay JSON text, nulls count as absent.
+
+    Read as the only element of an array, so text behind the object makes the line fail instead of being dropped.
+    """
     text = trim_space(fs.source(spec.get("field")))
     whole = text.startswith("{") & text.endswith("}")
-    doc = fs.stage(F.when(whole, F.from_json(text, "map<string,string>")))
+    docs = fs.stage(F.when(whole, F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")))
+    doc = fs.stage(F.when(F.size(docs) == 1, F.get(docs, F.lit(0))))
     fs.merge_map(doc)
     return fail_if(doc.isNull(), "json: not an object")
 

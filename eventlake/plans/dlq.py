@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from eventlake.functions import timefmt
 
 
+# entries that a page may have
+PAGE = 500
+
+
 def entries(dead: DataFrame) -> DataFrame:
     """Dead letters to DLQ rows: combined reason, raw reference, open."""
     reason = F.nullif(F.array_join("dlq_reasons", ","), F.lit(""))
@@ -40,15 +44,19 @@ def listing(
     reason: str | None = None,
     parser_id: str | None = None,
     resolved: bool | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
+    """Entries, newest first: all of them, or the first `limit` (1 to 500) as a page."""
+    if limit is not None and not 1 <= limit <= PAGE:
+        raise ValueError(f"a page has 1 to {PAGE} entries, not {limit}")
     if reason:
         rows = rows.filter(F.col("reason") == reason)
     if parser_id:
         rows = rows.filter(F.col("parser_id") == parser_id)
     if resolved is not None:
         rows = rows.filter(F.col("resolved") == resolved)
-    return rows.orderBy(F.desc("occurred_at"), "event_id").limit(min(limit, 500))
+    rows = rows.orderBy(F.desc("occurred_at"), "event_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def by_reason(rows: DataFrame, examples: int = 5) -> DataFrame:

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlake.functions import timefmt
-from eventlake.operators.framing import MAX_EVENT_BYTES
 from eventlake.schema import LEDGER_SCHEMA, RAW_REF_MESSAGE
 from eventlake.session import ensure_session
 
 
 def log_lines(spark: SparkSession, paths: str | list[str], streaming: bool = False, **options) -> DataFrame:
-    """One row per line: `raw` without a trailing carriage return, `peer` = file path."""
+    """One row per line: `raw` without a trailing carriage return, `peer` = file path.
+
+    The bytes of a line are never decoded: `raw` holds them as they stand in the file, valid UTF-8 or not, so its hash
+    and length are those of the file. Only parse steps read it as text.
+    """
     ensure_session(spark)
     reader = (spark.readStream if streaming else spark.read).options(lineSep="\n", **options)
-    return reader.text(paths).select(
-        F.regexp_replace("value", r"\r\z", "").alias("raw"), F.col("_metadata.file_path").alias("peer")
-    )
+    data = F.col("value").cast("binary")
+    ends = F.substring(data, F.octet_length(data), F.lit(1)) == F.lit(b"\r")
+    line = F.when(ends, F.substring(data, F.lit(1), F.octet_length(data) - F.lit(1))).otherwise(data)
+    return reader.text(paths).select(line.cast("string").alias("raw"), F.col("_metadata.file_path").alias("peer"))
 
 
 def ndjson_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -26,20 +30,26 @@ def ndjson_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return log_lines(spark, paths).filter(F.length("raw") > 0)
 
 
-def envelope(df: DataFrame, listener_id: str, now: Column | None = None, max_bytes: int = MAX_EVENT_BYTES) -> DataFrame:
-    """Stamp listener, arrival time (ns), byte length and the truncation flag; cut oversized payloads."""
+def envelope(df: DataFrame, listener_id: str, now: Column | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Stamp listener, arrival time (ns), byte length and the truncation flag.
+
+    Payloads stay whole unless `max_bytes` asks for a cut; the cut is made on bytes and may end inside a character.
+    `raw_sha256` is then the hash of the whole payload.
+    """
     size = F.octet_length("raw")
     at = timefmt.to_ns(now if now is not None else F.current_timestamp())
-    cut = F.decode(F.substring(F.col("raw").cast("binary"), 1, max_bytes), "UTF-8")
-    return df.withColumns(
-        {
-            "listener_id": F.lit(listener_id),
-            "received_at": F.col("received_at") if "received_at" in df.columns else at,
-            "byte_length": size.cast("long"),
-            "truncated": size > max_bytes,
-            "raw": F.when(size > max_bytes, cut).otherwise(F.col("raw")),
-        }
-    )
+    columns = {
+        "listener_id": F.lit(listener_id),
+        "received_at": F.col("received_at") if "received_at" in df.columns else at,
+        "byte_length": size.cast("long"),
+        "truncated": F.lit(False),
+    }
+    if max_bytes is not None:
+        data = F.col("raw").cast("binary")
+        columns["truncated"] = size > max_bytes
+        columns["raw_sha256"] = F.sha2(data, 256)
+        columns["raw"] = F.when(size > max_bytes, F.substring(data, 1, max_bytes)).otherwise(data).cast("string")
+    return df.withColumns(columns)
 
 
 def raw_ref_messages(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -112,12 +122,19 @@ DIMENSION_COLUMNS = {
 
 
 def dimension_csv(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """Dimension file with its row order in `ord`. Short rows and bad numbers are load errors."""
-    names, _ = DIMENSION_COLUMNS[kind]
+    """Dimension files with their row order in `ord`. Short rows and bad numbers are load errors.
+
+    Order: by file name, then by place in the file. Rows with fewer filled columns than the kind needs stop the load.
+    """
+    names, filled = DIMENSION_COLUMNS[kind]
     numeric = {"asn", "confidence"}
     schema = T.StructType([T.StructField(n, T.LongType() if n in numeric else T.StringType()) for n in names.split()])
     df = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=True)
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    # row numbers grow inside a file, as its splits are numbered in order of their start
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    have = sum((F.coalesce(F.col(n).cast("string") != "", F.lit(False)).cast("int") for n in names.split()[:filled]), F.lit(0))
+    bad = F.raise_error(F.lit(f"{kind}: a row has fewer than {filled} filled columns"))
+    return df.select(*names.split(), F.when(have < filled, bad.cast("string")).alias("__bad"), place.alias("ord")).filter("__bad IS NULL").drop("__bad")
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

@@ -149,9 +149,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that gives fewer tasks than there are cores (one small file); else leave it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the narrow events anew before lines are rendered from them: the given tables are single small files."""
+    return df.repartition("event_id")
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,26 +237,21 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def _shared_root(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; a temporary one only where there is no cluster."""
+def _shared_root(spark: SparkSession) -> str:
+    """The shared folder of the session; its own default only where the session names none and there is no cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/eventlake-{spark.sparkContext.applicationId}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local") else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(root or tempfile.gettempdir()).rstrip('/')}/eventlake-{spark.sparkContext.applicationId}"
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per application and read back, as a lake is.
-
-    Without a shared folder on a cluster it stays a lazy plan.
-    """
+    """A derived table written once per application to the shared folder and read back, as a lake is."""
     ensure_session(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         root = _shared_root(spark)
         df = build()
-        if root is None:
-            return df
         target = f"{root}/{sf_dir.strip('/').replace('/', '_')}/{name}"
         writer = df.hint("rebalance", F.col("dt")).sortWithinPartitions("dt") if "dt" in df.columns else df
         out = writer.write.mode("overwrite")

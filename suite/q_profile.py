@@ -65,7 +65,13 @@ def source_lines(spark, sf):
 
 @query(
     "onb1_shapes",
-    "SELECT 'source-' || v AS source, CASE v WHEN 3 THEN 'json' WHEN 1 THEN 'kv' WHEN 4 THEN 'kv' WHEN 0 THEN 'csv' ELSE 'free_text' END AS shape FROM range(6) t(v) WHERE (SELECT count(*) FROM events) > 0",
+    sql(
+        """SELECT 'source-' || vix AS source, CASE WHEN avg(js) >= 0.9 THEN 'json' WHEN avg(kv) >= 0.5 THEN 'kv'
+             WHEN avg((commas = usual)::INT) >= 0.9 AND max(usual) >= 2 THEN 'csv' ELSE 'free_text' END AS shape
+           FROM (SELECT *, mode(commas) OVER (PARTITION BY vix) AS usual FROM (SELECT vix, (raw LIKE '{%}')::INT AS js, length(raw) - length(replace(raw, ',', '')) AS commas,
+             (len(list_filter(string_split_regex(raw, '\\s+'), w -> regexp_matches(w, '^[A-Za-z_]') AND instr(w, '=') > 1 AND NOT suffix(w, '='))) >= 2)::INT AS kv FROM ln)) GROUP BY vix""",
+        "ln",
+    ),
 )
 def _(spark, sf):
     return ob.shape(source_lines(spark, sf))
@@ -153,7 +159,7 @@ def _(spark, sf):
     sql("SELECT 'source-' || vix AS source, token, count(*) AS n FROM (SELECT vix, unnest(string_split_regex(trim(raw), '\\s+')) AS token FROM ln) WHERE length(token) >= 4 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, token) = 1", "ln"),
 )
 def _(spark, sf):
-    return ob.dominant_literal(source_lines(spark, sf), n=None)
+    return ob.dominant_literal(source_lines(spark, sf))
 
 
 @query(
@@ -167,12 +173,16 @@ def _(spark, sf):
 
 @query(
     "onb9_field_success",
-    sql("SELECT f AS field, round(CASE f WHEN 'devname' THEN 1.0 WHEN 'load' THEN 0 ELSE 1.0 END, 3)::DOUBLE AS success_rate FROM (VALUES ('devname'), ('action'), ('user'), ('duration')) v(f) WHERE (SELECT count(*) FROM ev) > 0", "ev"),
+    sql(
+        """SELECT source, field, round(count(DISTINCT id)::DOUBLE / any_value(total), 3) AS success_rate
+           FROM (SELECT 'source-' || vix AS source, id, unnest(regexp_extract_all(raw, '([^ =]+)=("[^"]*"|[^ ]+)', 1)) AS field, count(*) OVER (PARTITION BY vix) AS total FROM ln)
+           GROUP BY source, field""",
+        "ln",
+    ),
 )
 def _(spark, sf):
-    rows = source_lines(spark, sf).filter("source = 'source-1'").withColumnRenamed("line", "raw")
-    rates = ob.field_success(extract(rows, [{"op": "kv"}]), ["source"])
-    return rates.filter(F.col("field").isin("devname", "action", "user", "duration")).select("field", "success_rate")
+    rows = source_lines(spark, sf).withColumnRenamed("line", "raw")
+    return ob.field_success(extract(rows, [{"op": "kv"}]), ["source"]).select("source", "field", "success_rate")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions import merkle
 from eventlake.operators import integrity
+from eventlake.sources import readers
 from eventlake.operators.framing import join_lines
 
 
@@ -81,3 +82,26 @@ def test_multiline_brute_force(spark, chunk, limit):
 def test_invalid_start_makes_every_line_an_event(spark):
     df = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "source string, line_no int, line string")
     assert join_lines(df, "(").count() == 2
+
+
+def test_proofs_of_a_full_segment(spark):
+    """A default segment holds 50 000 events; every event has its path, and no row carries the tree."""
+    n = 50_000
+    ids = F.col("id").cast("string")
+    refs = spark.range(n).select(F.lit("s").alias("raw_segment_id"), ids.alias("event_id"), F.col("id").alias("raw_seq"), F.sha2(ids.cast("binary"), 256).alias("raw_sha256"))
+    got = integrity.check_proofs(integrity.proofs(refs)).agg(F.count("*"), F.count_if("verified"), F.max(F.size("path"))).first()
+    assert tuple(got) == (n, n, 16)
+
+
+def test_lines_keep_their_bytes(spark, tmp_path):
+    import hashlib
+
+    lines = [b"a\xff\xfe\x00b\r", "é".encode() * 10, b"", b"\r", b"\xc3", b"plain"]
+    (tmp_path / "x.log").write_bytes(b"\n".join(lines) + b"\n")
+    rows = readers.envelope(readers.log_lines(spark, str(tmp_path)), "l", F.current_timestamp())
+    got = {(r.h, r.byte_length) for r in rows.select(integrity.payload_hash(F.col("raw")).alias("h"), "byte_length").collect()}
+    want = [x.removesuffix(b"\r") for x in lines]
+    assert got == {(hashlib.sha256(x).hexdigest(), len(x)) for x in want}
+    cut = readers.envelope(readers.log_lines(spark, str(tmp_path)), "l", F.current_timestamp(), max_bytes=5)
+    short = {bytes(r.b): (r.truncated, r.raw_sha256) for r in cut.select(F.col("raw").cast("binary").alias("b"), "truncated", "raw_sha256").collect()}
+    assert short == {x[:5]: (len(x) > 5, hashlib.sha256(x).hexdigest()) for x in want}

@@ -66,10 +66,10 @@ def test_addresses_match_ipaddress(spark):
             assert int(want) == (r.n if want.version == 4 else int(r.h, 16)), r.ip
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_cidr_first_listed_wins_brute_force(spark, limit, monkeypatch):
-    # limit 0 forces the salted join that large tables take
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
+    # limit 0 forces the shuffled join that large tables take
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
     rng = random.Random(5)
     nets = []
     for i in range(60):
