@@ -24,9 +24,12 @@ def run_steps(raw: Column, steps: list[dict], dictionaries: dict, guard: Column
     """Compile one list of operators. A failing operator is recorded and the rest still run."""
     fs = FieldSet(raw, stages or Stages(), guard)
     for spec in steps:
-        error = apply_operator(fs, spec, dictionaries)
-        if error is not None:
-            fs.errors.append(error)
+        # a step that extracts may say which of its fields are numbers: {types: {field: int}}
+        typed = [{"op": "convert", "field": name, "type": kind} for name, kind in (spec.get("types") or {}).items()]
+        for one in (spec, *typed):
+            error = apply_operator(fs, one, dictionaries)
+            if error is not None:
+                fs.errors.append(error)
     return fs
 
 
