@@ -10,8 +10,9 @@ A string of `length` bytes that starts at two places is found in three steps.
    doubling, and the longest previous factor of a window reaches `length` if the neighbour of smaller position in suffix
    order shares its first `length` bytes (as ties stand in order of position, that is the entry before; the entry after
    gives the next factor likewise).
-3. An anchor whose distinct runs exceed `BLOCK` bytes would be an unbounded group: its windows are counted by their
-   128-bit hash instead, which combines on the map side. Both ways give the same flags.
+3. An anchor whose distinct runs exceed `BLOCK` bytes would be an unbounded group: its windows are counted by 128-bit
+   hashes instead, in blocks that are halved where they differ; counts combine on the map side. Both ways give the same
+   flags.
 
 Run and anchor hashes are 64 bits each and compared together. Documents should be a stored table, whose row numbers the
 steps use to meet again. Defined results: a null text is empty; ids may be null or repeat, as rows are judged, not ids;
@@ -180,25 +181,82 @@ def by_suffix_order(cuts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _FLAGS)
 
 
-def by_window_hash(cuts: DataFrame, length: int) -> DataFrame:
-    """The same flags for anchors whose runs are too many for one group, by counting window hashes."""
+# windows told apart by their distance to the anchor are halved in blocks of these sizes
+SIZES = (32, 8, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, first, n, anchor, digest, cut in zip(*(b.column(c).to_pylist() for c in ("row", "first", "n", "anchor", "digest", "cut"))):
-                keys = [blake2b(cut[i : i + length], digest_size=16).digest() for i in range(n)]
-                same = [np.full(n, v) for v in (row, first, anchor, digest)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, same), pa.array(np.arange(n, dtype=np.int32))], ["key", "row", "first", "anchor", "digest", "off"])
 
-    windows = cuts.mapInArrow(run, "key binary, row long, first long, anchor long, digest long, off int")
-    place = F.struct("row", (F.col("first") + F.col("off")).alias("at"))
-    twice = windows.groupBy("key").agg(F.count("*").alias("c"), F.min(place).alias("p")).filter("c > 1").withColumnRenamed("key", "k")
-    hit = windows.join(twice, F.col("key") == F.col("k")).withColumn("later", place != F.col("p"))
+def _distance(cut: bytes, length: int) -> int:
+    """How far the anchor of a run is from its first window."""
+    h = (_hashes(cut[:length]) & ~_LOW) | np.arange(length - GRAM + 1, dtype=np.uint64)
+    return int(h.min() & _LOW)
+
 
-    def spread(c: F.Column) -> F.Column:
-        return F.flatten(F.transform(F.collect_list(c), lambda o: F.array(o, o + 1)))
+def _blocks(cut: bytes, n: int, far: int, length: int, size: int, wanted: list[int] | None) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """(block, hash of the bytes that all its windows hold, hash of the bytes that its windows span) of a run.
 
-    return hit.groupBy("anchor", "digest").agg(spread(F.when(F.col("later"), F.col("off"))).alias("earlier"), spread(F.col("off")).alias("other"))
+    A window's distance to its anchor decides its block, so the blocks of all runs of an anchor are alike. The second hash
+    is missing where the run holds a part of the block only.
+    """
+    for b in range((far - n + 1) // size, far // size + 1) if wanted is None else wanted:
+        low, high = b * size, b * size + size - 1
+        if high < far - n + 1 or low > far:
+            continue
+        core = blake2b(cut[far - low : far - high + length], digest_size=16).digest()
+        full = high <= far and low >= far - n + 1
+        yield b, core, blake2b(cut[far - high : far - low + length], digest_size=16).digest() if full else None
+
+
+def by_window_hash(cuts: DataFrame, length: int) -> DataFrame:
+    """The same flags for anchors whose runs are too many for one group, by counting hashes of blocks of windows.
+
+    A block whose spanned bytes occur twice is repeated as a whole; one whose common bytes occur once holds no repeated
+    window; what is between goes on in smaller blocks, and so does the first of equal blocks, which stands for them.
+    """
+    todo, parts = None, []
+    for size in SIZES:
+        source = cuts.withColumn("wanted", F.lit(None).cast("array<int>"))
+        if todo is not None:
+            source = cuts.join(todo, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d"))).drop("a", "d")
+
+        def run(batches: Iterator[pa.RecordBatch], size: int = size) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for row, first, n, anchor, digest, cut, wanted in zip(*(b.column(c).to_pylist() for c in ("row", "first", "n", "anchor", "digest", "cut", "wanted"))):
+                    far = _distance(cut, length)
+                    for block, core, span in _blocks(cut, n, far, length, size, wanted):
+                        lo = max(0, far - block * size - size + 1)
+                        hi = min(n, far - block * size + 1)
+                        out.append((row, first + lo, anchor, digest, block, core, span, lo, hi))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+                names = ["row", "at", "anchor", "digest", "block", "core", "span", "lo", "hi"]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+        schema = "row long, at long, anchor long, digest long, block int, core binary, span binary, lo int, hi int"
+        blocks = stored(source.mapInArrow(run, schema))
+        place = F.struct("row", "at")
+        cores = stored(blocks.groupBy(F.col("anchor").alias("a"), F.col("block").alias("b"), F.col("core").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").drop("c"))
+        whole = blocks.filter("span is not null").groupBy(F.col("anchor").alias("a2"), F.col("block").alias("b2"), F.col("span").alias("k2"))
+        whole = stored(whole.agg(F.count("*").alias("c2"), F.min(place).alias("p")).filter("c2 > 1").drop("c2"))
+        met = blocks.join(cores, (F.col("anchor") == F.col("a")) & (F.col("block") == F.col("b")) & (F.col("core") == F.col("k")))
+        met = met.join(whole, (F.col("anchor") == F.col("a2")) & (F.col("block") == F.col("b2")) & (F.col("span") == F.col("k2")), "left")
+        met = stored(met.select("anchor", "digest", "block", "lo", "hi", F.col("p").isNotNull().alias("other"), (place != F.col("p")).alias("later")))
+        parts.append(met.filter("other").select("anchor", "digest", "lo", "hi", F.coalesce("later", F.lit(False)).alias("later")))
+        if size > 1:
+            step = SIZES[SIZES.index(size) + 1]
+            share = size // step
+            inner = F.sequence(F.col("block") * share, F.col("block") * share + F.lit(share - 1))
+            # the children that the run has windows in
+            left = met.filter(~F.coalesce("later", F.lit(False))).groupBy(F.col("anchor").alias("a"), F.col("digest").alias("d"))
+            todo = left.agg(F.flatten(F.collect_list(inner)).alias("wanted"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+
+    def ranges(c: F.Column) -> F.Column:
+        return F.flatten(F.collect_list(F.when(c, F.array("lo", "hi"))))
+
+    return every.groupBy("anchor", "digest").agg(ranges(F.col("later")).alias("earlier"), ranges(F.lit(True)).alias("other"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, block: int = BLOCK) -> DataFrame:
@@ -209,7 +267,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, blo
     anchors = runs.groupBy(F.col("anchor").alias("a")).agg(
         F.count("*").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.min(place).alias("p0")
     )
-    anchors = anchors.filter("c > 1").select("a", (F.col("d0") != F.col("d1")).alias("mixed"), "p0")
+    # written, so that both sides of the joins below are plain shuffles, whose hot keys the adaptive planner splits
+    anchors = stored(anchors.filter("c > 1").select("a", (F.col("d0") != F.col("d1")).alias("mixed"), "p0"))
     kept = stored(runs.join(anchors, F.col("anchor") == F.col("a")).drop("a"))
 
     whole = kept.filter("not mixed")
@@ -219,13 +278,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, blo
     whole = whole.select("row", "first", ranges.alias("r"))
 
     mixed = kept.filter("mixed")
-    classes = mixed.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(place).alias("p"), F.max("n").alias("n"))
+    classes = stored(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(place).alias("p"), F.max("n").alias("n")))
     sizes = classes.groupBy(F.col("anchor").alias("a")).agg((F.sum(F.col("n") + length - 1) > block).alias("big"))
+    sizes = stored(sizes)
     wanted = classes.join(sizes, F.col("anchor") == F.col("a")).select("p.row", "p.first", "n", "anchor", "digest", "big")
     cuts = stored(fetch(numbered, wanted, length))
     flags = by_suffix_order(cuts.filter("not big"), length).unionByName(by_window_hash(cuts.filter("big"), length))
     named = flags.select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "earlier", "other")
-    about = classes.select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "c", "p").join(named, ["a", "d"], "left")
+    about = stored(classes.select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "c", "p").join(named, ["a", "d"], "left"))
     both = mixed.join(about, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d")))
     if keep_first:
         r = F.when(place != F.col("p"), ranges).otherwise(F.col("earlier"))
