@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
-The categories are predicted in order. The model of a category sees the distinct words of a text, hashed, and the
-probabilities of the earlier categories. In training these are out of fold: each fold's probabilities come from a model
+The categories are predicted in order. The model of a category sees the distinct words of a text and their beginnings,
+hashed and counted (abusive words come in inflected forms), and the probabilities of the earlier categories. In training these are out of fold: each fold's probabilities come from a model
 that has not seen the fold, so a later model meets in training what it meets in use. Models are logistic regressions with
 follow-the-regularised-leader updates, whose l1 term keeps the weight of words that say nothing at zero, so that long
 texts are judged by the few words that count. The chain's folds are trained in parallel tasks from a bounded sample.
@@ -35,44 +35,53 @@ CATEGORIES = ("low_quality", "toxic", "toxic_junk")
 class Settings:
     bits: int = 18
     folds: int = 3
-    epochs: int = 3
-    alpha: float = 0.2
-    l1: float = 1.5
-    l2: float = 0.1
+    epochs: int = 5
+    alpha: float = 1.0
+    l1: float = 15.0
+    l2: float = 0.01
     # labelled documents in the training sample at most
     sample: int = 8_000
     seed: int = 5
 
 
-def slots(text: bytes | None, bits: int) -> np.ndarray:
-    """Slots of the distinct words of a text."""
+# lengths in bytes of the word beginnings that are features besides the whole words
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: bytes | None, bits: int) -> Bag:
+    """Slots of the distinct words and their beginnings, and the logarithm of how many words each stands for."""
     words = set(words_of(text or b""))
-    at = np.fromiter(map(crc32, words), np.uint64, len(words)) * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(at >> np.uint64(64 - bits)).astype(np.int64)
+    found = [crc32(w) for w in words]
+    for k in BEGINNINGS:
+        found += [crc32(w[:k], k) for w in words if len(w) > k]
+    at = np.array(found, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
+    slot, count = np.unique(at, return_counts=True)
+    return slot.astype(np.int64), np.log2(1.0 + count)
 
 
-def probability(w: np.ndarray, at: np.ndarray, earlier: list[float]) -> float:
+def probability(w: np.ndarray, own: Bag, earlier: list[float]) -> float:
     """w: slots, then the earlier categories, then the bias."""
-    z = float(w[at].sum()) + float(w[-1]) + sum(float(a) * p for a, p in zip(w[-1 - len(earlier) : -1], earlier))
+    z = float(w[own[0]] @ own[1]) + float(w[-1]) + sum(float(a) * p for a, p in zip(w[-1 - len(earlier) : -1], earlier))
     return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def learn(rows: list[np.ndarray], earlier: np.ndarray, labels: np.ndarray, s: Settings) -> np.ndarray:
-    """Weights of one category; the rarer label weighs as much as the other."""
+def learn(rows: list[Bag], earlier: np.ndarray, labels: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights of one category; a rare label weighs up to four times as much as the other."""
     size, k = 1 << s.bits, earlier.shape[1]
     z, n = np.zeros(size + k + 1), np.zeros(size + k + 1)
     extra = np.arange(size, size + k + 1)
     ones = max(1, int(labels.sum()))
-    cost = (1.0, min(20.0, max(1.0, (len(labels) - ones) / ones)))
+    cost = (1.0, min(4.0, max(1.0, (len(labels) - ones) / ones)))
 
     def weight(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         w = -(zi - np.sign(zi) * s.l1) / ((1.0 + np.sqrt(ni)) / s.alpha + s.l2)
         return np.where(np.abs(zi) <= s.l1, 0.0, w)
 
     for _ in range(s.epochs):
-        for slot, before, y in zip(rows, earlier, labels):
+        for (slot, count), before, y in zip(rows, earlier, labels):
             at = np.concatenate([slot, extra])
-            x = np.concatenate([np.ones(len(slot)), before, [1.0]])
+            x = np.concatenate([count, before, [1.0]])
             zi, ni = z[at], n[at]
             w = weight(zi, ni)
             p = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w @ x)))))
@@ -101,7 +110,7 @@ def _fitter(name: str, earlier: list[str], s: Settings):  # noqa: ANN202
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["at", "key"], kind="stable")
-        at = [slots(t.encode() if t is not None else None, s.bits) for t in part["text"]]
+        at = [bag(t.encode() if t is not None else None, s.bits) for t in part["text"]]
         before = part[earlier].to_numpy(float).reshape(len(part), len(earlier))
         model, labels, fold = int(part["model"].iloc[0]), part[name].to_numpy(int), part["fold"].to_numpy()
         own = np.flatnonzero(fold != model)
@@ -146,7 +155,7 @@ def with_probabilities(docs: DataFrame, chain: list[np.ndarray], categories: tup
         for b in batches:
             out: list[list[float]] = []
             for t in raw(b.column(b.schema.names.index("text"))):
-                at, got = slots(t, bits), []
+                at, got = bag(t, bits), []
                 for w in models:
                     got.append(probability(w, at, got))
                 out.append(got)
