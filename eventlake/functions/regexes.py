@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # A control character that separates captured groups inside one replace result.
 GROUP_SEP = "\x01"
 
+# the parser folds equal arms of an alternative, so they are looked for in the text
+_EQUAL_ARMS = re.compile(r"[(|]([^()|]+)\|(?:[^()|]*\|)*\1(?=[|)])")
 _NAMED_GROUP = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
 _POSIX_CLASS = {
     "alnum": r"\p{Alnum}",
@@ -33,10 +35,11 @@ class UnsafePattern(ValueError):
 def ambiguous(pattern: str) -> bool:
     """Whether some unbounded repeat can split a text between its rounds in more than one way.
 
-    Judged on the parsed pattern: the body of such a repeat must neither begin or end with an unbounded repeat of
-    its own, nor offer alternatives that begin with the same literal or are equal. Patterns that this parser does not
-    know are left to the JVM.
+    Judged on the parsed pattern: a body that repeats without bound inside must also hold something that has to stand
+    beside that, and its alternatives must not begin alike. Patterns that this parser does not know are left to the JVM.
     """
+    if _EQUAL_ARMS.search(pattern):
+        return True
     try:
         tree = _parser.parse(pattern)
     except (re.error, OverflowError, RecursionError):
@@ -71,19 +74,20 @@ def _repeated(tree: list) -> list:
 
 
 def _loose(body: list) -> bool:
-    nodes = list(body)
-    if not nodes:
-        return False
-    for op, arg in (nodes[0], nodes[-1]):
+    """Whether a body holds an unbounded repeat and nothing that must stand beside it, or alternatives that begin alike."""
+    loose, fixed = False, False
+    for op, arg in body:
         if _unbounded(op, arg):
-            return True
-        if op is _parser.SUBPATTERN and _loose(arg[-1]):
-            return True
-        if op is _parser.BRANCH:
+            loose = True
+        elif op is _parser.SUBPATTERN:
+            loose, fixed = (True, fixed) if _loose(arg[-1]) else (loose, True)
+        elif op is _parser.BRANCH:
             heads = [str(list(b)[:1]) for b in arg[1]]
-            if len(set(heads)) < len(heads) or any(_loose(b) for b in arg[1]):
-                return True
-    return False
+            again = len(set(heads)) < len(heads) or any(_loose(b) for b in arg[1])
+            loose, fixed = (True, fixed) if again else (loose, True)
+        elif op is not _parser.AT and not (op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] == 0):
+            fixed = True
+    return loose and not fixed
 
 
 @dataclass(frozen=True)
