@@ -69,7 +69,7 @@ def source_lines(spark, sf):
         """SELECT 'source-' || vix AS source, CASE WHEN avg(js) >= 0.9 THEN 'json' WHEN avg(kv) >= 0.5 THEN 'kv'
              WHEN avg((commas = usual)::INT) >= 0.9 AND max(usual) >= 2 THEN 'csv' ELSE 'free_text' END AS shape
            FROM (SELECT *, mode(commas) OVER (PARTITION BY vix) AS usual FROM (SELECT vix, (raw LIKE '{%}')::INT AS js, length(raw) - length(replace(raw, ',', '')) AS commas,
-             (len(list_filter(string_split_regex(raw, '\\s+'), w -> regexp_matches(w, '^[A-Za-z_]') AND instr(w, '=') > 1 AND NOT suffix(w, '='))) >= 2)::INT AS kv FROM ln)) GROUP BY vix""",
+             (len([w FOR w IN string_split_regex(raw, '\\s+') IF regexp_matches(w, '^[A-Za-z_]') AND instr(w, '=') > 1 AND NOT suffix(w, '=')]) >= 2)::INT AS kv FROM ln)) GROUP BY vix""",
         "ln",
     ),
 )
