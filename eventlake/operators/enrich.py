@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -159,6 +160,20 @@ def risk(df: DataFrame) -> DataFrame:
     )
 
 
+def _isolated(df: DataFrame, step: Enricher) -> DataFrame:
+    """The step's result, or df where the step does not plan or loses a column: one bad enricher leaves out only itself."""
+    try:
+        out = step(df)
+        lost = set(df.columns) - set(out.columns)
+    except Exception as exc:  # noqa: BLE001 - foreign code, reported and left out
+        warnings.warn(f"enricher {getattr(step, '__name__', step)} left out: {exc}", stacklevel=3)
+        return df
+    if lost:
+        warnings.warn(f"enricher {getattr(step, '__name__', step)} left out: it drops {sorted(lost)}", stacklevel=3)
+        return df
+    return out
+
+
 def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = ()) -> DataFrame:
     """The fixed chain, then any extra enrichers, then risk. Left joins only, so no row is lost.
 
@@ -181,8 +196,10 @@ def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = ()) -> DataF
     missing = {"enrich_ioc_match": F.lit(None).cast("boolean")}
     # the numeric addresses are computed once and shared by every range lookup
     df = df.withColumns({f"__{s}_n": ipv4_to_long(F.col(f"{s}_ip")) for s in ("src", "dst")})
-    for step in [*steps, *extra]:
+    for step in steps:
         df = df.transform(step)
+    for step in extra:
+        df = _isolated(df, step)
     df = df.drop("__src_n", "__dst_n")
     for name, empty in missing.items():
         if name not in df.columns:

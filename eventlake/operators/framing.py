@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventlake.functions import regexes, timefmt
 
 
-def _compiles(pattern: str | None) -> bool:
+def compiles(pattern: str | None) -> bool:
     if not pattern:
         return False
     try:
@@ -41,7 +41,7 @@ def join_lines(
     Running counts are taken per chunk of a source and then offset by a prefix sum over chunks, so a
     single huge source still spreads over many tasks.
     """
-    if not _compiles(start):
+    if not compiles(start):
         return df.select(
             source,
             F.col(order).cast("long").alias("event_no"),

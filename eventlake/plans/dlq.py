@@ -75,6 +75,13 @@ def replay(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(wanted, "event_id", "left_semi"), wanted.join(rows, "event_id", "left_anti")
 
 
+def resolve(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The table with the entries of these ids marked as resolved; others stay as they are."""
+    done = ids.select("event_id").distinct().withColumn("__done", F.lit(True))
+    out = rows.join(done, "event_id", "left")
+    return out.withColumn("resolved", F.col("resolved") | F.coalesce("__done", F.lit(False))).select(*rows.columns)
+
+
 def replay_messages(found: DataFrame) -> DataFrame:
     """The raw references to read again, as ordinary ingest messages."""
     return found.select(

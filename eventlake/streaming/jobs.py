@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventlake.functions import timefmt
-from eventlake.operators.framing import MAX_EVENT_BYTES
+from eventlake.functions import regexes, timefmt
+from eventlake.operators.framing import MAX_EVENT_BYTES, compiles
 from eventlake.plans.process import Context, process
 from eventlake.sources.writers import Sink, fan_out, write_dead_letters, write_lake
 
@@ -72,42 +72,60 @@ def multiline(
 ) -> DataFrame:
     """Streaming form of join_lines: the open event of a source is state, flushed when the source idles.
 
-    The buffer never grows past `max_bytes`; what exceeds it only sets the flag.
+    Start lines are found by Spark in the same pattern dialect as in batches; a missing or invalid pattern makes every
+    line an event. The buffer never grows past `max_bytes`; what exceeds it only sets the flag. A run that ends
+    (availableNow) keeps the last open event of each source in its checkpoint, for the next run.
     """
+    if not compiles(start):
+        size = F.octet_length(text)
+        cut = F.substring(F.col(text).cast("binary"), 1, max_bytes).cast("string")
+        return lines.select(source, F.when(size > max_bytes, cut).otherwise(F.col(text)).alias("payload"), (size > max_bytes).alias("truncated"))
     schema = f"{source} string, payload string, truncated boolean"
 
-    def add(buffer: str, line: str, cut: bool) -> tuple[str, bool]:
-        joined = f"{buffer}\n{line}" if buffer is not None else line
-        data = joined.encode("utf-8")
-        if len(data) <= max_bytes:
-            return joined, cut
-        return data[:max_bytes].decode("utf-8", "ignore"), True
+    class Open:
+        """The event being gathered: its lines and their size in bytes."""
+
+        def __init__(self, buffer: str | None, opened: bool, cut: bool):
+            self.parts = [] if buffer is None else [buffer]
+            self.size = 0 if buffer is None else len(buffer.encode())
+            self.opened, self.cut = opened, cut
+
+        def add(self, line: str) -> None:
+            between = 1 if self.opened else 0
+            self.opened = True
+            room = max_bytes - self.size - between
+            data = line.encode()
+            if self.cut or len(data) > room:
+                self.cut, data = True, data[: max(0, room)] if not self.cut else b""
+                line = data.decode("utf-8", "ignore")
+                if not line:
+                    return
+            self.parts.append(line)
+            self.size += between + len(data)
+
+        def text(self) -> str:
+            return "\n".join(self.parts)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import re
-
-        begins = re.compile(start)
-        buffer, opened, cut = state.get if state.exists else (None, False, False)
+        event = Open(*(state.get if state.exists else (None, False, False)))
         if state.hasTimedOut:
-            if opened:
-                yield pd.DataFrame({source: [key[0]], "payload": [buffer], "truncated": [cut]})
+            if event.opened:
+                yield pd.DataFrame({source: [key[0]], "payload": [event.text()], "truncated": [event.cut]})
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(order)
-        done: list[tuple[str, bool]] = []
-        for line in rows[text]:
-            if opened and begins.search(line):
-                done.append((buffer, cut))
-                buffer, cut = None, False
-            buffer, cut = add(buffer, line, cut)
-            opened = True
-        state.update((buffer, opened, cut))
+        done: list[Open] = []
+        for line, begins in zip(rows[text], rows["__begins"]):
+            if event.opened and begins:
+                done.append(event)
+                event = Open(None, False, False)
+            event.add(line)
+        state.update((event.text(), event.opened, event.cut))
         state.setTimeoutDuration(idle_ms)
         if done:
-            yield pd.DataFrame(
-                {source: key[0], "payload": [p for p, _ in done], "truncated": [c for _, c in done]}
-            )
+            yield pd.DataFrame({source: key[0], "payload": [e.text() for e in done], "truncated": [e.cut for e in done]})
 
+    lines = lines.withColumn("__begins", F.coalesce(regexes.matches(F.col(text), start), F.lit(False)))
     return lines.groupBy(source).applyInPandasWithState(
         step, schema, _LINE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )

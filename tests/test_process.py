@@ -159,3 +159,28 @@ def test_dead_letter_columns(spark):
     dead = dead_letters(process(lines(spark, "x"), Context(now=NOW)))
     assert dead.columns == [*FLAT_NAMES, "dlq_reasons", "dlq_detail"]
     assert json.loads(dead.toJSON().first())["dlq_reasons"] == ["unknown_source"]
+
+
+def test_a_failing_enricher_leaves_out_only_itself(spark):
+    df = lines(spark, PANOS.format(src="203.0.113.5", sport=1024))
+
+    def broken(d):
+        return d.withColumn("x", F.col("no_such_column"))
+
+    def greedy(d):
+        return d.select("event_id")
+
+    def tagged(d):
+        return d.withColumn("threat_category", F.lit("tagged"))
+
+    with pytest.warns(UserWarning, match="left out"):
+        (row,) = process(df, Context(now=NOW, enrichers=[broken, greedy, tagged])).collect()
+    assert row.threat_category == "tagged" and row.enrich_risk_score == 25.0
+
+
+def test_resolve_marks_entries(spark):
+    from eventlake.plans import dlq
+
+    rows = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "event_id string, resolved boolean")
+    ids = spark.createDataFrame([("a",), ("z",), ("a",)], "event_id string")
+    assert sorted(map(tuple, dlq.resolve(rows, ids).collect())) == [("a", True), ("b", False), ("c", True)]
