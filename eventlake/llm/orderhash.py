@@ -7,9 +7,9 @@ follows edit similarity. At similarity 0.8 an entry is shared with probability 0
 100 000 pairs.
 
 Texts of equal words are one node from the start. In a bucket all nodes are compared with its hub, the node whose buckets
-are fullest (the centre of a family of copies, not a random member), so a bucket of n nodes costs n comparisons. Where
-some differ from their hub, the nodes of the bucket meet anew in pairs of buckets, and those that differ again under the
-next hub, until all are joined or compared: no bucket is capped.
+are fullest (the centre of a family of copies, not a random member), so a bucket of n nodes costs n comparisons. Where some
+differ from their hub, all nodes of the bucket meet anew in pairs of buckets, under other hubs, with other pairs each turn,
+until a turn brings no link. No bucket is capped; nodes that are joined already are not compared again.
 
 A comparison aligns the two sequences of distinct shingles inside the band that the threshold leaves: M shingles matched
 in order, of n and m, are a link if M / (n + m - M) >= 0.8. As shingles in a sequence are distinct, the alignment is a
@@ -27,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -156,27 +156,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, ok boolean")
 
 
-def linked(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, label): the component of every node with a link. members: (bucket, node) of buckets with two nodes or more;
-    nodes: (node, buckets); texts: (node, text). Nodes that are in one component already are not compared."""
-    labels = members.select("node", F.col("node").alias("label")).limit(0)
-    found, judged, turn = None, None, 0
+def _keys(turn: int) -> Column:
+    """Buckets of a node in a turn: each of its own, and later pairs of them, other ones each turn."""
+    if turn == 1:
+        return F.col("buckets")
+    # two entries that lie `turn` - 1 apart
+    return F.array(*[F.xxhash64(F.col("buckets")[i], F.col("buckets")[(i + turn - 1) % SKETCHES], F.lit(i)) for i in range(SKETCHES)])
 
-    def parted(pairs: DataFrame) -> DataFrame:
-        """The pairs (hub, node) that no chain of links joins."""
-        for c in ("hub", "node"):
-            pairs = pairs.join(labels.select(F.col("node").alias("x"), F.col("label").alias(f"l_{c}")), F.col(c) == F.col("x"), "left").drop("x")
-        return pairs.filter(F.coalesce("l_hub", "hub") != F.coalesce("l_node", "node")).drop("l_hub", "l_node")
 
-    while not members.isEmpty():
-        turn += 1
-        full = members.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
-        members = members.join(full, F.col("bucket") == F.col("k")).select("bucket", "node", "c")
+def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label): the component of every node with a link. nodes: (node, buckets); texts: (node, text).
+
+    Nodes that are in one component already are not compared.
+    """
+    labels = nodes.select("node", F.col("node").alias("label")).limit(0)
+    found, judged = None, None
+    there = nodes
+    for turn in range(1, SKETCHES):
+        names = labels.select(F.col("node").alias("x"), F.col("label").alias("l"))
+        own = there.join(names, F.col("node") == F.col("x"), "left").select("node", F.coalesce("l", "node").alias("label"), F.explode(_keys(turn)).alias("bucket"))
+        full = own.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
+        members = own.join(full, F.col("bucket") == F.col("k")).select("bucket", "node", "label", "c")
         rank = members.groupBy(F.col("node").alias("x")).agg(F.sum("c").alias("rank"))
-        members = stored(members.join(rank, F.col("node") == F.col("x")).select("bucket", "node", "rank"))
-        hubs = members.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("rank", "node"))["node"].alias("hub"))
-        met = members.join(hubs, F.col("bucket") == F.col("k")).filter("node != hub").select("bucket", "node", "hub")
-        met = stored(parted(met))
+        members = stored(members.join(rank, F.col("node") == F.col("x")).select("bucket", "node", "label", "rank"))
+        hubs = members.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("rank", "node", "label")).alias("hub"))
+        met = members.join(stored(hubs), F.col("bucket") == F.col("k")).filter("node != hub.node AND label != hub.label")
+        met = stored(met.select("bucket", F.col("hub.node").alias("hub"), "node"))
         pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         if judged is not None:
             known = judged.select(F.col("a").alias("p"), F.col("b").alias("q"))
@@ -188,16 +193,16 @@ def linked(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         if not good.isEmpty():
             found = good if found is None else found.union(good)
             labels = components(found)
-        # what is still apart from its hub goes on; what is joined to it is left to it
-        left = parted(met).select("bucket", "node")
-        if turn == 1:
-            # all nodes of such buckets meet anew where two of their buckets agree: there a shared passage is not enough
-            torn = left.select(F.col("bucket").alias("k")).distinct()
-            again = members.join(torn, F.col("bucket") == F.col("k"), "left_semi").select(F.col("node").alias("n")).distinct()
-            again = nodes.join(again, F.col("node") == F.col("n"), "left_semi")
-            pair = [F.xxhash64(F.lit(i), F.col("buckets")[i], F.col("buckets")[(i + d) % SKETCHES], F.lit(d)) for i in range(SKETCHES) for d in (1, 3)]
-            left = again.select(F.explode(F.array(*pair)).alias("bucket"), "node")
-        members = stored(left)
+        elif turn > 1:
+            break
+        # all nodes of buckets in which something differs from the hub meet anew
+        apart = verdicts.filter("not ok").select("a", "b")
+        torn = met.join(apart, (F.col("hub") == F.col("a")) & (F.col("node") == F.col("b")), "left_semi")
+        torn = torn.select(F.col("bucket").alias("k")).distinct()
+        again = members.join(torn, F.col("bucket") == F.col("k"), "left_semi").select(F.col("node").alias("x")).distinct()
+        there = stored(nodes.join(again, F.col("node") == F.col("x"), "left_semi"))
+        if there.isEmpty():
+            break
     return labels
 
 
@@ -208,12 +213,13 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = stored(own.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rep"), F.first("buckets").alias("buckets")))
     all_buckets = nodes.select(F.explode("buckets").alias("bucket"), "node")
     full = all_buckets.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
-    members = stored(all_buckets.join(full, F.col("bucket") == F.col("k"), "left_semi"))
+    members = all_buckets.join(full, F.col("bucket") == F.col("k"), "left_semi").select(F.col("node").alias("n")).distinct()
+    shared = stored(nodes.join(members, F.col("node") == F.col("n"), "left_semi"))
     # one text of each node that shares a bucket
-    wanted = members.select(F.col("node").alias("n")).distinct().join(nodes, F.col("n") == F.col("node")).select("node", F.col("rep.row").alias("to"))
+    wanted = shared.select("node", F.col("rep.row").alias("to"))
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     texts = stored(text.join(wanted, F.col("row") == F.col("to")).select("node", "text"))
-    label = linked(members, nodes.select("node", "buckets"), texts)
+    label = linked(shared.select("node", "buckets"), texts)
     tied = label.join(nodes.select(F.col("node").alias("n"), "rep"), F.col("node") == F.col("n")).select("node", "label", "rep")
     best = tied.groupBy(F.col("label").alias("l")).agg(F.min("rep").alias("best"))
     tied = tied.join(best, F.col("label") == F.col("l")).select(F.col("node").alias("n"), "best")
