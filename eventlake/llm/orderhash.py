@@ -9,7 +9,7 @@ follows edit similarity. At similarity 0.8 an entry is shared with probability 0
 Texts of equal words are one node from the start. In a bucket all nodes are compared with its hub, the node whose buckets
 are fullest (the centre of a family of copies, not a random member), so a bucket of n nodes costs n comparisons. Where some
 differ from their hub, all nodes of the bucket meet anew in pairs of buckets, under other hubs, with other pairs each turn,
-until a turn, from the third on, adds less than one link in a hundred. No bucket is capped; nodes that are joined already are not compared again.
+until no bucket is left in which something differs. No bucket is capped; nodes that are joined already are not compared again.
 
 A comparison aligns the two sequences of distinct shingles inside the band that the threshold leaves: M shingles matched
 in order, of n and m, are a link if M / (n + m - M) >= 0.8. As shingles in a sequence are distinct, the alignment is a
@@ -37,8 +37,6 @@ from eventlake.llm.components import components
 WORDS = 5
 SKETCHES = 16
 PICKS = 3
-# turns at least; from then on a turn has to add one link to a hundred
-TURNS = 3
 # threshold 0.8 of M / (n + m - M), as 9 M >= 4 (n + m)
 _PART, _WHOLE = 9, 4
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +170,7 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     Nodes that are in one component already are not compared.
     """
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    found, judged, total = None, None, 0
+    found, judged = None, None
     there = nodes
     for turn in range(1, SKETCHES):
         names = labels.select(F.col("node").alias("x"), F.col("label").alias("l"))
@@ -192,13 +190,9 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         verdicts = stored(verified(pairs, texts))
         judged = verdicts if judged is None else judged.union(verdicts)
         good = verdicts.filter("ok").select("a", "b")
-        before, new = total, good.count()
-        total += new
-        if new:
+        if not good.isEmpty():
             found = good if found is None else found.union(good)
             labels = components(found)
-        if turn >= TURNS and new * 100 <= before:
-            break
         # all nodes of buckets in which something differs from the hub meet anew
         apart = verdicts.filter("not ok").select("a", "b")
         torn = met.join(apart, (F.col("hub") == F.col("a")) & (F.col("node") == F.col("b")), "left_semi")
