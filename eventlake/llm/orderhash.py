@@ -6,10 +6,12 @@ kept in text order; their hash is a bucket. Two texts meet in a bucket if they s
 follows edit similarity. At similarity 0.8 an entry is shared with probability 0.8^3, and all 16 are missed in about 1 of
 100 000 pairs.
 
-Texts of equal words are one node from the start. In a bucket all nodes are compared with its hub, the node whose buckets
-are fullest (the centre of a family of copies, not a random member), so a bucket of n nodes costs n comparisons. Where some
-differ from their hub, all nodes of the bucket meet anew in pairs of buckets, under other hubs, with other pairs each turn,
-until no bucket is left in which something differs. No bucket is capped; nodes that are joined already are not compared again.
+Texts of equal words are one node from the start. In a bucket all nodes are first compared with its hub, the node whose
+buckets are fullest (the centre of a family of copies, not a random member), so a bucket of n nodes costs n comparisons.
+Where the other nodes of a bucket are not all in one component then, every two of them that lie in different components are
+decided in that bucket: it is cut into blocks of bounded size, pairs of blocks count the shingles that their texts have in
+common, and pairs that can reach the threshold are aligned. So all pairs that share a bucket are decided, directly or by
+their component; no bucket is capped, and nothing ends early.
 
 A comparison aligns the two sequences of distinct shingles inside the band that the threshold leaves: M shingles matched
 in order, of n and m, are a link if M / (n + m - M) >= 0.8. As shingles in a sequence are distinct, the alignment is a
@@ -27,7 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -37,6 +39,8 @@ from eventlake.llm.components import components
 WORDS = 5
 SKETCHES = 16
 PICKS = 3
+# bytes of a block of nodes, and what a node counts for at least
+BLOCK, LEAST = 2_000_000, 2_000
 # threshold 0.8 of M / (n + m - M), as 9 M >= 4 (n + m)
 _PART, _WHOLE = 9, 4
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -156,52 +160,121 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, ok boolean")
 
 
-def _keys(turn: int) -> Column:
-    """Buckets of a node in a turn: each of its own, and later pairs of them, other ones each turn."""
-    if turn == 1:
-        return F.col("buckets")
-    # two entries that lie `turn` - 1 apart
-    return F.array(*[F.xxhash64(F.col("buckets")[i], F.col("buckets")[(i + turn - 1) % SKETCHES], F.lit(i)) for i in range(SKETCHES)])
+def _in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For every two sequences of distinct shingles, how many they have in common."""
+    sides = []
+    vocabulary = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros(len(a) * len(b), np.int64)
+    if not len(vocabulary):
+        return out.reshape(len(a), len(b))
+    for texts in (a, b):
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        value = np.concatenate(texts)
+        column = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
+        both = vocabulary[column] == value
+        order = np.argsort(column[both], kind="stable")
+        column, row = column[both][order], row[both][order]
+        sides.append((row, column, np.bincount(column, minlength=len(vocabulary))))
+    (row_a, col_a, n_a), (row_b, col_b, n_b) = sides
+    # shingles of many texts by matrix products, the others by their pairs
+    often = n_a * n_b * 64 > len(a) * len(b)
+    number = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 1_024):
+        dense = []
+        for texts, row, column in ((a, row_a, col_a), (b, row_b, col_b)):
+            some = often[column] & (number[column] >= lo) & (number[column] < lo + 1_024)
+            m = np.zeros((len(texts), 1_024), np.float32)
+            m[row[some], number[column[some]] - lo] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64).ravel()
+    start = np.cumsum(n_b) - n_b
+    row_a, col_a = row_a[~often[col_a]], col_a[~often[col_a]]
+    times = np.cumsum(n_b[col_a])
+    lo = 0
+    while lo < len(row_a):
+        hi = max(lo + 1, int(np.searchsorted(times, (times[lo - 1] if lo else 0) + 4_000_000, "right")))
+        n = n_b[col_a[lo:hi]]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(row_a[lo:hi], n) * len(b) + row_b[np.repeat(start[col_a[lo:hi]], n) + inner], minlength=len(out))
+        lo = hi
+    return out.reshape(len(a), len(b))
+
+
+def _decided(group: pa.Table) -> pa.Table:
+    """Links (a, b) between two blocks, or inside one; pairs that are joined already, or meanwhile, are not compared."""
+    side, node, label = (group.column(c).to_pylist() for c in ("side", "node", "label"))
+    texts = [distinct(shingles(words_of(t))) for t in raw(group.column("text").combine_chunks())]
+    left = [i for i, x in enumerate(side) if x == 0]
+    right = [i for i, x in enumerate(side) if x == 1] or left
+    names = {x: i for i, x in enumerate(dict.fromkeys(label))}
+    own = np.array([names[x] for x in label])
+    n, m = (np.array([len(texts[i]) for i in x])[:, None] for x in (left, right))
+    may = (_in_common([texts[i] for i in left], [texts[i] for i in right]) * _PART >= _WHOLE * (n + m.T)) & (own[left][:, None] != own[right])
+    if right is left:
+        may = np.triu(may)
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = []
+    for i, j in np.argwhere(may).tolist():
+        x, y = left[i], right[j]
+        p, q = root(own[x]), root(own[y])
+        if p != q and similar(texts[x], texts[y]):
+            parent[q] = p
+            links.append((node[x], node[y]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
+def _others(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the members (bucket, node) of each bucket that are in different components."""
+    names = labels.select(F.col("node").alias("x"), F.col("label").alias("l"))
+    own = members.join(names, F.col("node") == F.col("x"), "left").select("bucket", "node", F.coalesce("l", "node").alias("label"))
+    own = stored(own)
+    torn = own.groupBy(F.col("bucket").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+    own = own.join(stored(torn.select("k")), F.col("bucket") == F.col("k")).drop("k")
+    size = texts.select(F.col("node").alias("x"), F.greatest(F.octet_length("text"), F.lit(LEAST)).cast("long").alias("size"))
+    own = stored(own.join(size, F.col("node") == F.col("x")).select("bucket", "node", "label", "size"))
+    # blocks of a large component hold nothing else and are not compared with each other
+    each = stored(own.groupBy(F.col("bucket").alias("k"), F.col("label").alias("l")).agg(F.sum("size").alias("whole")))
+    mixed = stored(each.filter(F.col("whole") <= BLOCK).groupBy(F.col("k").alias("j")).agg(F.sum("whole").alias("rest")))
+    large = each.filter(F.col("whole") > BLOCK)
+    own = own.join(stored(large), (F.col("bucket") == F.col("k")) & (F.col("label") == F.col("l")), "left")
+    own = own.join(mixed, F.col("bucket") == F.col("j"), "left")
+    blocks = F.ceil(F.coalesce("whole", "rest") / BLOCK)
+    block = F.struct(F.coalesce("l", F.lit(b"")).alias("only"), F.pmod(F.xxhash64("node"), blocks).alias("number")).alias("block")
+    own = stored(own.select("bucket", "node", "label", block))
+    at = stored(own.select(F.col("bucket").alias("k"), F.col("block").alias("p")).distinct())
+    other = at.select(F.col("k").alias("j"), F.col("p").alias("q"))
+    pairs = at.join(other, F.col("k") == F.col("j")).filter("p < q AND (p.only != q.only OR p.only = X'') OR p = q AND p.only = X''").select("k", "p", "q")
+    pairs = pairs.select("k", "p", "q", F.explode(F.when(F.expr("p = q"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    pairs = stored(pairs.withColumn("at", F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("q"))))
+    met = own.join(pairs, (F.col("bucket") == F.col("k")) & (F.col("block") == F.col("at"))).select("bucket", "p", "q", "side", "node", "label")
+    text = texts.select(F.col("node").alias("x"), "text")
+    met = met.join(text, F.col("node") == F.col("x")).select("bucket", "p", "q", "side", "node", "label", "text")
+    return met.groupBy("bucket", "p", "q").applyInArrow(_decided, "a binary, b binary")
 
 
 def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, label): the component of every node with a link. nodes: (node, buckets); texts: (node, text).
-
-    Nodes that are in one component already are not compared.
-    """
-    labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    found, judged = None, None
-    there = nodes
-    for turn in range(1, SKETCHES):
-        names = labels.select(F.col("node").alias("x"), F.col("label").alias("l"))
-        own = there.join(names, F.col("node") == F.col("x"), "left").select("node", F.coalesce("l", "node").alias("label"), F.explode(_keys(turn)).alias("bucket"))
-        full = own.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
-        members = own.join(full, F.col("bucket") == F.col("k")).select("bucket", "node", "label", "c")
-        rank = members.groupBy(F.col("node").alias("x")).agg(F.sum("c").alias("rank"))
-        members = stored(members.join(rank, F.col("node") == F.col("x")).select("bucket", "node", "label", "rank"))
-        hubs = members.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("rank", "node", "label")).alias("hub"))
-        met = members.join(stored(hubs), F.col("bucket") == F.col("k")).filter("node != hub.node AND label != hub.label")
-        met = stored(met.select("bucket", F.col("hub.node").alias("hub"), "node"))
-        pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        if judged is not None:
-            known = judged.select(F.col("a").alias("p"), F.col("b").alias("q"))
-            known = known.union(judged.select(F.col("b").alias("p"), F.col("a").alias("q")))
-            pairs = pairs.join(known, (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")), "left_anti")
-        verdicts = stored(verified(pairs, texts))
-        judged = verdicts if judged is None else judged.union(verdicts)
-        good = verdicts.filter("ok").select("a", "b")
-        if not good.isEmpty():
-            found = good if found is None else found.union(good)
-            labels = components(found)
-        # all nodes of buckets in which something differs from the hub meet anew
-        apart = verdicts.filter("not ok").select("a", "b")
-        torn = met.join(apart, (F.col("hub") == F.col("a")) & (F.col("node") == F.col("b")), "left_semi")
-        torn = torn.select(F.col("bucket").alias("k")).distinct()
-        again = members.join(torn, F.col("bucket") == F.col("k"), "left_semi").select(F.col("node").alias("x")).distinct()
-        there = stored(nodes.join(again, F.col("node") == F.col("x"), "left_semi"))
-        if there.isEmpty():
-            break
-    return labels
+    """(node, label): the component of every node with a link. nodes: (node, buckets); texts: (node, text)."""
+    own = nodes.select("node", F.explode("buckets").alias("bucket"))
+    full = own.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
+    members = own.join(stored(full), F.col("bucket") == F.col("k")).select("bucket", "node", "c")
+    rank = members.groupBy(F.col("node").alias("x")).agg(F.sum("c").alias("rank"))
+    members = stored(members.join(rank, F.col("node") == F.col("x")).select("bucket", "node", "rank"))
+    hubs = members.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("rank", "node")).alias("hub"))
+    met = members.join(stored(hubs), F.col("bucket") == F.col("k")).filter("node != hub.node")
+    met = stored(met.select("bucket", F.col("hub.node").alias("hub"), "node"))
+    pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = stored(verified(pairs, texts).filter("ok").select("a", "b"))
+    labels = components(links)
+    # a hub has met all others of its bucket
+    more = stored(_others(met.select("bucket", "node"), labels, texts))
+    return labels if more.isEmpty() else components(links.union(more))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -99,3 +99,54 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def distinct_shingles(text):
+    return orderhash.distinct(orderhash.shingles(words_of(text.encode())))
+
+
+def split_family(pairs):
+    """Variants of one text with eight words of their own, two of them shared in pairs: 0.82 in a pair, 0.76 else."""
+    rnd = random.Random(11)
+    out = []
+    for k in range(pairs):
+        common = rnd.sample(range(8), 2)
+        for own in (0, 1):
+            edit = [f"t{i}" for i in range(300)]
+            for i in range(8):
+                edit[20 + 35 * i] = f"v{k}x{i}" + ("" if i in common else "ab"[own])
+            out.append(" ".join(edit))
+    return out
+
+
+def test_members_unlike_their_hub_are_compared_with_each_other(spark):
+    """Beside 3 000 easy links; the pairs of a family whose members share most buckets have to be found all the same."""
+    family = split_family(45)
+    rnd = random.Random(3)
+    for i in range(300):
+        base = [f"e{i}x{rnd.randint(0, 10**6)}" for _ in range(30)]
+        family += [" ".join([*base, f"c{i}x{j}"]) for j in range(11)]
+    df = spark.createDataFrame(list(enumerate(family)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.class_id for r in orderhash.classes(df).collect()}
+    seen = [distinct_shingles(t) for t in family[:90]]
+    buckets = [set(orderhash.sketch(words_of(t.encode()))) for t in family[:90]]
+    links = [(i, j) for j in range(90) for i in range(j) if buckets[i] & buckets[j] and orderhash.similar(seen[i], seen[j])]
+    assert len(links) >= 40
+    assert all(got[i] == got[j] for i, j in links)
+    assert len({got[i] for i in range(90)}) == 45 + 45 - len(links)
+
+
+def test_blocks_of_a_bucket_give_all_its_links(spark, monkeypatch):
+    texts = split_family(45)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r.class_id for r in orderhash.classes(df).collect()}
+    monkeypatch.setattr(orderhash, "BLOCK", 8_000)
+    assert {r.doc_id: r.class_id for r in orderhash.classes(df).collect()} == whole
+
+
+def test_shingles_in_common():
+    rnd = np.random.default_rng(4)
+    draw = lambda n: [np.unique(np.concatenate([rnd.choice(50, 30), rnd.choice(5_000, 60)]).astype(np.uint64)) for _ in range(n)]
+    a, b = draw(40), draw(25)
+    assert orderhash._in_common(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert orderhash._in_common(a, [np.array([9_999], np.uint64)]).sum() == 0
