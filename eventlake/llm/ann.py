@@ -1,8 +1,9 @@
 """Nearest neighbours by collision-counting hashing with query-centred windows.
 
-Vectors are scaled by the largest norm and lifted by one coordinate to unit length, so that the largest inner product is
-the smallest distance. Each of `PROJECTIONS` random directions gives one projection, held as a sorted array per block of
-`BLOCK` vectors. A query opens a window around its own projection in every array and widens it step by step (virtual
+Each block of `BLOCK` vectors is cut into ranges of like norm (within a factor `RANGE`). The vectors of a range are scaled
+by its largest norm and lifted by one coordinate to unit length, so that the largest inner product is the smallest distance.
+Each of `PROJECTIONS` random directions gives one projection, held as a sorted array per range. Ranges are searched from the
+largest norm down, until the k-th score found exceeds all that the norms of the rest allow. In a range, a query opens a window around its own projection in every array and widens it step by step (virtual
 rehashing) until enough vectors lie in the windows of at least half of the arrays; those are verified with exact inner
 products. The index is a table of blocks; queries come in chunks of `CHUNK`, each broadcast to one pass over the index.
 
@@ -27,9 +28,11 @@ from eventlake.llm.common import stored
 PROJECTIONS = 96
 BLOCK = 8_192
 CHUNK = 2_048
-# part of a block that has to collide before the windows stop widening
+# largest norm of a range by its smallest, at most
+RANGE = 1.25
+# part of a range that has to collide before the windows stop widening
 SHARE = 0.3
-# and so many times the wanted neighbours besides, which small blocks need
+# and so many times the wanted neighbours besides, which small ranges need
 SPARE = 15
 SEED = 20240131
 # each window is wider than the one before by this factor
@@ -60,8 +63,15 @@ def matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def norm_ranges(norms: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors of each range, largest norms first."""
+    number = np.floor(np.log(norms.max() / norms) / math.log(RANGE))
+    order = np.argsort(number, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+
+
 class Arrays:
-    """Sorted projections of a block."""
+    """Sorted projections of a range."""
 
     def __init__(self, x: np.ndarray, largest: float):
         p = lifted(x, largest) @ directions(x.shape[1])
@@ -117,10 +127,9 @@ def build(vectors: DataFrame) -> DataFrame:
 def search(index: DataFrame, queries: Column, k: int = 20, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row of the index for which `queries` holds."""
     spark = index.sparkSession
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    shape = index.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("largest"), F.count_if(queries).alias("q")).collect()
+    shape = index.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).collect()
     parts = None
-    for dim, n, largest, asked in ((s.dim, s.n, s.largest, s.q) for s in shape if s.q):
+    for dim, n, asked in ((s.dim, s.n, s.q) for s in shape if s.q):
         blocks = max(1, math.ceil(n / BLOCK))
         own = index.filter(F.col("dim") == dim)
         # equal vectors are dealt over all blocks, as rows are dealt by number
@@ -132,7 +141,7 @@ def search(index: DataFrame, queries: Column, k: int = 20, share: float = SHARE)
             rows = list(chunk.toLocalIterator())
             if rows:
                 asked_by = (np.array([r.vec_id for r in rows]), np.array([r.row for r in rows]), np.array([r.embedding for r in rows]))
-                got = _pass(dealt, spark.sparkContext.broadcast(asked_by), largest, k, share)
+                got = _pass(dealt, spark.sparkContext.broadcast(asked_by), k, share)
                 parts = got if parts is None else parts.union(got)
     if parts is None:
         return index.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -141,28 +150,37 @@ def search(index: DataFrame, queries: Column, k: int = 20, share: float = SHARE)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _pass(dealt: DataFrame, asked, largest: float, k: int, share: float) -> DataFrame:  # noqa: ANN001
+def _pass(dealt: DataFrame, asked, k: int, share: float) -> DataFrame:  # noqa: ANN001
     """The k best of each partition's blocks for each query of a chunk."""
 
     def answer(block: list[pa.RecordBatch], held: dict) -> None:
         data = pa.Table.from_batches(block).combine_chunks().to_batches()[0]
         ids, rows, x = data.column(1).to_numpy(), data.column(2).to_numpy(), matrix(data.column(3))
-        arrays = Arrays(x, largest)
+        norms = np.linalg.norm(x, axis=1)
         q_ids, q_rows, q = asked.value
-        lift = np.concatenate([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))], 1)
+        lengths = np.linalg.norm(q, axis=1)
+        lift = np.concatenate([q / lengths[:, None], np.zeros((len(q), 1))], 1)
         projected = lift @ directions(q.shape[1])
-        need = math.ceil(share * len(ids)) + SPARE * k
-        for i in range(len(q)):
-            at = arrays.colliding(projected[i], need)
-            at = at[rows[at] != q_rows[i]]
-            score = x[at] @ q[i]
-            top = best(ids[at], score, k)
-            found = ids[at][top], score[top]
-            if i in held:
-                both = [np.concatenate(pair) for pair in zip(held[i], found)]
-                top = best(*both, k)
-                found = both[0][top], both[1][top]
-            held[i] = found
+        for places in norm_ranges(norms):
+            own_ids, own_rows, own = ids[places], rows[places], x[places]
+            largest = float(norms[places].max())
+            need = math.ceil(share * len(places)) + SPARE * k
+            arrays = Arrays(own, largest) if need < len(places) else None
+            for i in range(len(q)):
+                before = held.get(i)
+                # the k-th score so far exceeds all that can come, with room for rounding
+                if before is not None and len(before[1]) == k and before[1][-1] > lengths[i] * largest * (1 + 1e-9):
+                    continue
+                at = arrays.colliding(projected[i], need) if arrays else np.arange(len(places))
+                at = at[own_rows[at] != q_rows[i]]
+                score = own[at] @ q[i]
+                top = best(own_ids[at], score, k)
+                found = own_ids[at][top], score[top]
+                if before is not None:
+                    both = [np.concatenate(pair) for pair in zip(before, found)]
+                    top = best(*both, k)
+                    found = both[0][top], both[1][top]
+                held[i] = found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}

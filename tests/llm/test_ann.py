@@ -1,6 +1,7 @@
 """Nearest neighbours: recall against brute force, exact scores, ties and unusable vectors."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from eventlake.llm import ann
@@ -36,3 +37,24 @@ def test_small_ties_and_bad_vectors(spark):
     assert [b for b in by if b[0] == 0] == [(0, 1, 20, 2.0), (0, 2, 20, 2.0), (0, 3, 1, 1.0)]
     assert [b[:3] for b in by if b[0] == 20] == [(20, 1, 20), (20, 1, 20), (20, 2, 0), (20, 2, 0), (20, 3, 1), (20, 3, 1)]
     assert ann.search(ann.build(df.limit(0)), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("norms", ["one outlier", "1 to 3", "1 to 100"])
+def test_recall_with_unequal_norms(spark, norms):
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((4_000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "one outlier":
+        x[17] *= 100
+    else:
+        x *= np.exp(rnd.uniform(0, np.log(int(norms.split()[-1])), 4_000))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got: dict[int, set] = {}
+    for r in ann.search(ann.build(df), F.col("vec_id") % 40 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 4_000, 40):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit / (20 * 100) >= 0.9
