@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import ann, decontam, mixing, orderhash, pii, quality, secrets, suffixes, toxicity, warc
+from eventlake.llm import ann, cuckoo, decontam, mixing, orderhash, pii, quality, secrets, suffixes, toxicity, warc
 from eventlake.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,16 @@ def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.mark(docs, pii.train(docs))
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op13_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = cuckoo.insert(None, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cuckoo.classes(index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLE["op13_cuckoo_dedup"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+      FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r"""
