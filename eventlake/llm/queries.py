@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import ann, cuckoo, decontam, mixing, orderhash, pii, quality, secrets, suffixes, toxicity, warc
+from eventlake.llm import ann, cuckoo, decontam, mixing, orderhash, phrases, pii, quality, secrets, suffixes, toxicity, warc
 from eventlake.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,31 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_re
 r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
       FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r"""
+
+
+PHRASES = 2_000
+
+
+@query
+def op12_fm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, totals = phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+    ranked = phrases.top(phrases.collocations(found, totals), PHRASES)
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLE["op12_fm_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS ws FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (SELECT lang, ws[i:i + m - 1] AS ws, max(f) AS held
+           FROM (SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS i FROM f, range(2, 5) t(m) WHERE m < k) GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN inner_ USING (lang, ws) WHERE k > 1 AND NOT coalesce(100 * held >= 100 * f, false)),
+cuts AS (SELECT lang, phrase, f AS a, c.k AS len_, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM c, range(1, 5) t(j) WHERE j < c.k),
+s AS (SELECT cuts.lang, cuts.phrase, a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+      FROM cuts JOIN total USING (lang) JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
