@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import ann, cuckoo, decontam, mixing, orderhash, phrases, pii, quality, secrets, suffixes, toxicity, warc
+from eventlake.llm import ann, cuckoo, decontam, mixing, orderhash, phrases, pii, quality, runs, secrets, suffixes, toxicity, warc
 from eventlake.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +187,37 @@ s AS (SELECT cuts.lang, cuts.phrase, a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT
 low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low WHERE o = 1)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """docs whose texts, for one id in ten by its CRC-32, end in a repeated stretch: words i >= a become words a + (i - a) % p.
+
+    A null id leaves its text as it is.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words").cast("long")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(at, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.mark(with_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    first = found.withColumn("first", longest)
+    length = -F.col("first.less")
+    return first.select(
+        "doc_id",
+        "n_runs",
+        F.col("first.start").alias("start"),
+        length.alias("length"),
+        F.col("first.period").alias("period"),
+        F.call_function("div", 1000 * length, F.col("first.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
