@@ -4,7 +4,7 @@ The patterns give the base spans. The field works on tokens: an entity holds tok
 one run of them (a zone), and has `LONGEST` tokens at most. Features describe a candidate segment as a whole: its shape, its
 digits, check sums and octets, and what stands before and after. Dynamic programming over the end, length and type of the
 last segment chooses boundaries and types together. Weights are learnt from zones of a bounded sample of documents, where
-base spans that fit token boundaries are the truth; in decoding, segments that touch a base span are left out, so the
+base spans that fit token boundaries are the truth, and zones of more than `PIECE` tokens are learnt in pieces; in decoding, segments that touch a base span are left out, so the
 field only adds.
 
 Defined results: a null text is empty and has no spans; spans are in code points, end exclusive; ids are never looked at.
@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +30,8 @@ LONGEST = 6
 # documents in the training sample at most
 SAMPLE = 2_000
 EPOCHS = 4
+# tokens that training takes at once: longer zones are learnt in pieces
+PIECE = 64
 
 # fixed patterns: what the contract of the query states; an address is sought from its @, which comes to the same
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -53,7 +56,7 @@ def _digits(s: str) -> str:
 
 def octets(s: str) -> bool:
     """Whether all dotted parts are at most 255; long ones are not even read as numbers."""
-    return all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in s.split("."))
+    return all(len(d := p.lstrip("0")) < 4 and int(d or "0") < 256 for p in s.split("."))
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -107,7 +110,7 @@ def shape(s: str) -> str:
     for k in kinds:
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out)[:40]
+    return "".join(out)
 
 
 def features(text: str, start: int, end: int, n: int) -> list[str]:
@@ -133,30 +136,29 @@ class Field:
         self.w: dict[str, float] = defaultdict(float, weights or {})
         self.square: dict[str, float] = defaultdict(float)
 
-    def lattice(self, text: str, zone: list[tuple[int, int]]) -> list[list[tuple[int, int, list[str], float]]]:
-        """For each end, the segments (length, type, keys, score) that may stand there."""
-        out = []
-        for j in range(len(zone)):
-            here = []
-            for n in range(1, min(LONGEST, j + 1) + 1):
-                found = features(text, zone[j - n + 1][0], zone[j][1], n)
-                for t in range(len(KINDS) + 1) if n == 1 else range(1, len(KINDS) + 1):
-                    keys = [f"{t} {f}" for f in found]
-                    here.append((n, t, keys, sum(self.w.get(k, 0.0) for k in keys)))
-            out.append(here)
-        return out
+    def ending(self, text: str, zone: list[tuple[int, int]], j: int) -> list[tuple[int, int, list[str], float]]:
+        """The segments (length, type, keys, score) that may end with token j."""
+        here = []
+        for n in range(1, min(LONGEST, j + 1) + 1):
+            found = features(text, zone[j - n + 1][0], zone[j][1], n)
+            for t in range(len(KINDS) + 1) if n == 1 else range(1, len(KINDS) + 1):
+                keys = [f"{t} {f}" for f in found]
+                here.append((n, t, keys, sum(self.w.get(k, 0.0) for k in keys)))
+        return here
 
     def best(self, text: str, zone: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """The segments of the best segmentation that are entities: (first token, number of tokens, type)."""
-        rows = self.lattice(text, zone)
-        score, back = [0.0], []
-        for j, here in enumerate(rows):
-            s, n, t = max((score[j + 1 - n] + w, -n, -t) for n, t, _, w in here)
+        """The segments of the best segmentation that are entities: (first token, number of tokens, type).
+
+        Only scores of the last LONGEST ends and one choice per token are held, whatever the length of the zone.
+        """
+        score, back = deque([0.0], LONGEST), bytearray()
+        for j in range(len(zone)):
+            s, n, t = max((score[-n] + w, -n, -t) for n, t, _, w in self.ending(text, zone, j))
             score.append(s)
-            back.append((-n, -t))
+            back.append(-16 * n - t)
         out, j = [], len(zone)
         while j:
-            n, t = back[j - 1]
+            n, t = divmod(back[j - 1], 16)
             j -= n
             if t:
                 out.append((j, n, t))
@@ -164,7 +166,7 @@ class Field:
 
     def step(self, text: str, zone: list[tuple[int, int]], truth: set[tuple[int, int, int]], rate: float = 0.5) -> None:
         """One gradient step on the log-likelihood of the true segmentation. truth: (first token, tokens, type)."""
-        rows, n_tok = self.lattice(text, zone), len(zone)
+        rows, n_tok = [self.ending(text, zone, j) for j in range(len(zone))], len(zone)
 
         def soft(values: list[float]) -> float:
             top = max(values)
@@ -210,8 +212,9 @@ def learn(texts: list[str]) -> dict[str, float]:
     for _ in range(EPOCHS):
         for text, base in known:
             for zone in zones(text):
-                if len(zone) <= 64:
-                    field.step(text, zone, truth_of(zone, base))
+                for i in range(0, len(zone), PIECE):
+                    piece = zone[i : i + PIECE]
+                    field.step(text, piece, truth_of(piece, base))
     return {k: round(v, 4) for k, v in field.w.items() if abs(v) > 1e-3}
 
 
@@ -219,9 +222,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most `sample` documents with a digit or an @: those with the smallest hash of their text."""
     text = F.col("text").cast("string")
     key = F.xxhash64(text)
-    some = docs.filter(text.rlike("[0-9@]")).select(key.alias("k")).orderBy("k").limit(sample).distinct()
+    # copies go first, so that a text with very many does not fill the sample
+    some = docs.filter(text.rlike("[0-9@]")).select(key.alias("k")).distinct().orderBy("k").limit(sample)
     picked = docs.select(key.alias("key"), text.alias("text")).join(F.broadcast(some), F.col("key") == F.col("k"))
-    # copies of a picked text say nothing new
     picked = picked.groupBy("key").agg(F.first("text").alias("text"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -237,12 +240,20 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
     base = base_spans(text)
     if not _ANY.search(text) or not field.w:
         return base, base
-    covered = [(s, e) for s, _, e in base]
+    # base spans as stretches that do not meet, so one search tells whether a segment touches any
+    starts, ends = [], []
+    for s, _, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     added = []
     for zone in zones(text):
         for i, n, t in field.best(text, zone):
             s, e = zone[i][0], zone[i + n - 1][1]
-            if not any(a < e and s < b for a, b in covered):
+            at = bisect_left(starts, e)
+            if not at or ends[at - 1] <= s:
                 added.append((s, t - 1, e))
     return base, sorted(base + added)
 

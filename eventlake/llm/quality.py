@@ -140,5 +140,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Settin
     known = labels.filter(~held_out(F.col("doc_id")))
     picked = sample_labels(known.select(F.col("doc_id").alias("key"), F.col(label).alias("label")), s)
     text = docs.select(F.col("doc_id").alias("__id"), "text")
-    # the sample is bounded by its settings, so it may be broadcast
-    return train(text.join(F.broadcast(picked), F.col("key") == F.col("__id")).drop("__id"), s)
+    # the sample is bounded by its settings, so it may be broadcast; of rows that share an id the smallest text is learnt
+    joined = text.join(F.broadcast(picked), F.col("key") == F.col("__id")).drop("__id")
+    one = joined.groupBy(*picked.columns).agg(F.min("text").alias("text"))
+    return train(one, s)

@@ -72,16 +72,21 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def id_of(name: str) -> Column:
+    """A page id out of an archive, where a null one stands as an empty string."""
+    return F.nullif(F.col(name), F.lit("")).cast("long")
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.index(spark, path).select(
-        F.col("page_id").cast("long").alias("page_id"),
+        id_of("page_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        F.col("refers_to").cast("long").alias("refers_to"),
+        id_of("refers_to").alias("refers_to"),
     )
 
 

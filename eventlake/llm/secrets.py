@@ -54,7 +54,8 @@ BASE = (
 # own rules: private key blocks and signed web tokens
 EXTRA = (
     Rule("keyblock", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", None, ("private key-----",)),
-    Rule("webtoken", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", None, ("eyj",)),
+    # from the start of a run of such letters only: one attempt per run, however often it repeats the mark
+    Rule("webtoken", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", None, ("eyj",)),
 )
 RULES = BASE + EXTRA
 LEDGER = "blob binary, rules array<string>, spans array<struct<rule: string, start: int, end: int>>"

@@ -102,6 +102,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     text = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text"))
     # bounded by the sample's size
     joined = text.join(F.broadcast(picked), F.col("__id") == F.col("key"))
+    # of rows that share an id the smallest text is learnt
+    joined = joined.groupBy("key", "at", *CATEGORIES).agg(F.min("text").alias("text"))
     return stored(joined.select("key", "at", "text", *CATEGORIES, fold.alias("fold")))
 
 

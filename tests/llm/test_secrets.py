@@ -53,3 +53,12 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan_unseen(df, str(tmp_path / "l")) == 0
     assert secrets.findings(df, str(tmp_path / "l")).count() == 0
+
+
+def test_web_tokens_in_very_long_texts():
+    rules = list(secrets.EXTRA)
+    real = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12
+    assert secrets.find(f"x {real} y", rules) == [("webtoken:2", 2, 2 + len(real))]
+    # a million characters of the mark itself, in one run and in many
+    for text in ("eyJ" * 350_000, "eyJ." * 250_000, "eyJ0123456789." * 70_000):
+        assert len(secrets.find(text + " " + real, rules)) >= 1

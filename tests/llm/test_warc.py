@@ -4,6 +4,7 @@ import gzip
 import hashlib
 
 from eventlake.llm import warc
+from eventlake.llm.queries import QUERIES
 
 
 def test_round_trip(spark, tmp_path):
@@ -43,3 +44,13 @@ def test_framing_and_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "e"))
     assert warc.index(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_query_with_null_ids(spark, tmp_path):
+    rows = [(None, "u", "a" * 100), (None, "u", "a" * 100), (5, "u", "b" * 100), (None, None, "b" * 100), (6, "u", None), (7, "u", "a" * 99)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["op2_warc"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in got) == [
+        ("5", "response", "None", 100), ("6", "response", "None", 0), ("7", "response", "None", 99),
+        ("None", "response", "None", 100), ("None", "revisit", "5", 100), ("None", "revisit", "None", 100),
+    ]
