@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions.net import ipv4_to_long, is_internal
-from eventlake.operators.cidr import CidrTable, build_cidr_table, cidr_lookup
+from eventlake.operators.cidr import CidrTable, build_cidr_table, build_tables, cidr_lookup
 from eventlake.operators.lookup import LookupTable, last_wins, lookup_join, lookup_table
 
 Enricher = Callable[[DataFrame], DataFrame]
@@ -25,6 +25,8 @@ RISK = {
     "dst_asset_critical": 15.0,
 }
 HIGH_SEVERITY = 5
+# payload columns of the network tables
+GEO, ASN = ["country", "city"], ["asn", "as_org"]
 RISK_CAP = 100.0
 
 
@@ -34,6 +36,8 @@ class Dimensions:
 
     geo: CidrTable | None = None
     asn: CidrTable | None = None
+    # both together, which is one lookup per address
+    places: CidrTable | None = None
     assets: LookupTable | None = None
     identities: LookupTable | None = None
     iocs: LookupTable | None = None
@@ -56,9 +60,11 @@ class Dimensions:
         def table(df: DataFrame | None, key: str) -> LookupTable | None:
             return lookup_table(last_wins(df, [key])) if df is not None else None
 
+        networks = {"geo": (geo, GEO), "asn": (asn, ASN)}
+        there = {k: v for k, v in networks.items() if v[0] is not None}
         return Dimensions(
-            geo=build_cidr_table(geo, ["country", "city"]) if geo is not None else None,
-            asn=build_cidr_table(asn, ["asn", "as_org"]) if asn is not None else None,
+            places=build_tables(list(there.values())) if len(there) == 2 else None,
+            **{k: build_cidr_table(*v) for k, v in there.items() if len(there) == 1},
             assets=table(assets, "ip"),
             identities=table(identities, "username"),
             iocs=table(iocs, "indicator"),
@@ -72,18 +78,28 @@ def _number(df: DataFrame, side: str) -> str | None:
     return name if name in df.columns else None
 
 
-def geo(df: DataFrame, table: CidrTable) -> DataFrame:
+def _names(kind: list[str], side: str) -> dict[str, str]:
+    prefix = "geo_" if kind is GEO else ""
+    return {c: f"enrich_{side}_{prefix}{c}" for c in kind}
+
+
+def _networks(df: DataFrame, table: CidrTable, kinds: list[list[str]]) -> DataFrame:
     for side in ("src", "dst"):
-        names = {"country": f"enrich_{side}_geo_country", "city": f"enrich_{side}_geo_city"}
-        df = cidr_lookup(df, table, f"{side}_ip", names, number=_number(df, side))
+        df = cidr_lookup(df, table, f"{side}_ip", [_names(k, side) for k in kinds], number=_number(df, side))
     return df
 
 
+def geo(df: DataFrame, table: CidrTable) -> DataFrame:
+    return _networks(df, table, [GEO])
+
+
 def asn(df: DataFrame, table: CidrTable) -> DataFrame:
-    for side in ("src", "dst"):
-        names = {"asn": f"enrich_{side}_asn", "as_org": f"enrich_{side}_as_org"}
-        df = cidr_lookup(df, table, f"{side}_ip", names, number=_number(df, side))
-    return df
+    return _networks(df, table, [ASN])
+
+
+def places(df: DataFrame, table: CidrTable) -> DataFrame:
+    """Country, city and autonomous system of both addresses, by one lookup each."""
+    return _networks(df, table, [GEO, ASN])
 
 
 def internal(df: DataFrame, extra: list[str] = ()) -> DataFrame:
@@ -180,6 +196,8 @@ def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = ()) -> DataF
     Rows that could not be identified or mapped (v_fault) have no addresses, so they pass through.
     """
     steps: list[Enricher] = []
+    if dims.places:
+        steps.append(lambda d: places(d, dims.places))
     if dims.geo:
         steps.append(lambda d: geo(d, dims.geo))
     if dims.asn:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions.net import ipv4_to_long, ipv6_to_hex, is_ip, is_internal
 from eventlake.operators import lookup
-from eventlake.operators.cidr import build_cidr_table, cidr_lookup
+from eventlake.operators.cidr import build_cidr_table, build_tables, cidr_lookup
 from eventlake.operators.enrich import Dimensions
 from eventlake.operators.normalize import timestamp_value
 from eventlake.plans.process import Context, compat_rows, dead_letters, flat_rows, process
@@ -67,7 +67,7 @@ def test_addresses_match_ipaddress(spark):
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_cidr_first_listed_wins_brute_force(spark, limit, monkeypatch):
+def test_cidr_first_listed_wins_brute_force(spark, limit, monkeypatch, tmp_path):
     # limit 0 forces the shuffled join that large tables take
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
     rng = random.Random(5)
@@ -78,9 +78,9 @@ def test_cidr_first_listed_wins_brute_force(spark, limit, monkeypatch):
     nets += [("2001:db8::/32", 100), ("2001:db8:1::/45", 99)]
     ips = [str(ipaddress.ip_address(rng.choice([10, 11, 12, 13]) << 24 | rng.getrandbits(24))) for _ in range(300)] + ["2001:db8:1::7", "2001:db8:9::7", "bad", None]
     dim = spark.createDataFrame(nets, "cidr string, ord long").withColumn("name", F.concat(F.lit("n"), F.col("ord").cast("string")))
-    table = build_cidr_table(dim, ["name"])
-    if limit == 0:
-        table.levels.update({w: lookup.LookupTable(t.df, False) for w, t in table.levels.items()})
+    dim.write.parquet(str(tmp_path / "networks"))
+    table = build_cidr_table(spark.read.parquet(str(tmp_path / "networks")), ["name"])
+    assert table.blocks.small == table.ranges.small == (limit > 0)
     got = cidr_lookup(spark.createDataFrame([(i, x) for i, x in enumerate(ips)], "id int, ip string"), table, "ip", {"name": "hit"}).collect()
     assert len(got) == len(ips)
     for r in got:
@@ -92,6 +92,37 @@ def test_cidr_first_listed_wins_brute_force(spark, limit, monkeypatch):
         assert r.hit == want, r.ip
 
 
+def test_two_tables_in_one_lookup(spark, tmp_path):
+    rng = random.Random(9)
+
+    def table(n, wide):
+        nets = [(f"{rng.choice([10, 11])}.{rng.choice([0, 1, 200])}.{rng.getrandbits(8)}.{rng.getrandbits(8)}/{rng.choice([9, 14, 17, 22, 25, 31, 32])}", 7 * i) for i in range(n)]
+        # listed twice, and everything as the last resort
+        return nets + [(nets[0][0], 999)] + ([("0.0.0.0/0", 1000)] if wide else [])
+
+    one, two = table(40, True), table(25, False)
+
+    def frame(nets, c):
+        spark.createDataFrame([(n, o, f"{c}{o}", o) for n, o in nets], f"cidr string, ord long, {c} string, {c}_n long").write.parquet(str(tmp_path / c))
+        return spark.read.parquet(str(tmp_path / c))
+
+    both = build_tables([(frame(one, "a"), ["a", "a_n"]), (frame(two, "b"), ["b"])])
+    ips = [f"{rng.choice([9, 10, 11])}.{rng.choice([0, 1, 2, 200])}.{rng.getrandbits(8)}.{rng.getrandbits(8)}" for _ in range(400)] + [n.partition("/")[0] for n, _ in one + two] + ["0.0.0.0", "255.255.255.255", "::1", "", None]
+    df = spark.createDataFrame([(x,) for x in ips], "ip string")
+    got = cidr_lookup(df, both, "ip", [{"a": "x", "a_n": "n"}, {"b": "y"}]).collect()
+    assert len(got) == len(ips) and {r.ip for r in got} == set(ips)
+
+    def first(nets, ip):
+        return min((o for n, o in nets if ipaddress.ip_address(ip) in ipaddress.ip_network(n, strict=False)), default=None)
+
+    for r in got:
+        v4 = r.ip and ":" not in r.ip
+        a, b = (first(one, r.ip), first(two, r.ip)) if v4 else (None, None)
+        assert (r.x, r.n, r.y) == (None if a is None else f"a{a}", a, None if b is None else f"b{b}"), r.ip
+    plan = cidr_lookup(df, both, "ip", [{"a": "x"}, {"b": "y"}])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2
+
+
 def test_bad_cidr_is_a_load_error(spark):
     with pytest.raises(Exception, match="bad cidr"):
         build_cidr_table(spark.createDataFrame([("10.0.0.0/99", 0, "x")], "cidr string, ord long, name string"), ["name"])
