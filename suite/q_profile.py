@@ -77,7 +77,35 @@ def _(spark, sf):
     return ob.shape(source_lines(spark, sf))
 
 
-@query("onb2_templates")
+TEMPLATES = r"""
+form AS (SELECT source, m, CAST(len(m) AS VARCHAR) || '|' || array_to_string(m[1:2], ' ') AS leaf, count(*) AS n, min(line) AS line
+         FROM (SELECT source, line, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END for t in regexp_split_to_array(trim(line), '\s+')] AS m FROM lines)
+         GROUP BY source, m),
+place AS (SELECT source, leaf, n, unnest(m) AS t, generate_subscripts(m, 1) AS p FROM form),
+often AS (SELECT source, leaf, p, t FROM (SELECT source, leaf, p, t, sum(n) AS k FROM place GROUP BY ALL)
+          JOIN (SELECT source, leaf, sum(n) AS total FROM form GROUP BY ALL) USING (source, leaf) WHERE k >= 0.4 * total AND t <> '<*>'),
+own AS (SELECT f.source, f.leaf, f.m, any_value(f.n) AS n, any_value(f.line) AS line, list(CASE WHEN o.t IS NULL THEN '<*>' ELSE f.t END ORDER BY f.p) AS tokens
+        FROM (SELECT source, leaf, m, n, line, unnest(m) AS t, generate_subscripts(m, 1) AS p FROM form) f
+        LEFT JOIN often o ON o.source = f.source AND o.leaf = f.leaf AND o.p = f.p AND o.t = f.t GROUP BY f.source, f.leaf, f.m),
+tpl AS (SELECT source, leaf, tokens, array_to_string(tokens, ' ') AS txt, sum(n) AS n FROM own GROUP BY ALL),
+turn AS (SELECT *, first_value(tokens) OVER (PARTITION BY source, leaf ORDER BY n DESC, txt) AS lead FROM tpl
+         UNION ALL
+         SELECT source, leaf, tokens, txt, n, first_value(tokens) OVER (PARTITION BY source, leaf ORDER BY n DESC, txt) FROM turn
+         WHERE NOT (tokens = lead OR len([z for z in list_zip(lead, tokens) if z[1] = z[2] AND z[1] <> '<*>']) >= 0.4 * len(tokens))),
+led AS (SELECT source, leaf, tokens, lead FROM turn
+        WHERE tokens = lead OR len([z for z in list_zip(lead, tokens) if z[1] = z[2] AND z[1] <> '<*>']) >= 0.4 * len(tokens)),
+agreed AS (SELECT source, leaf, lead, p, CASE WHEN min(t) = max(t) THEN min(t) ELSE '<*>' END AS t
+           FROM (SELECT source, leaf, lead, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS p FROM led) GROUP BY ALL),
+named AS (SELECT source, leaf, lead, string_agg(t, ' ' ORDER BY p) AS template FROM agreed GROUP BY ALL),
+final AS (SELECT own.source, own.n, own.line, template FROM own JOIN led USING (source, leaf, tokens) JOIN named USING (source, leaf, lead)),
+shown AS (SELECT source, template, string_agg(line, ' || ' ORDER BY line) AS examples
+          FROM (SELECT *, row_number() OVER (PARTITION BY source, template ORDER BY line) AS rn FROM final) WHERE rn <= 3 GROUP BY ALL)
+SELECT source, template, CAST(sum(n) AS BIGINT) AS size, round(sum(n) * 100.0 / (SELECT sum(n) FROM final g WHERE g.source = final.source), 2) AS coverage_pct,
+       any_value(examples) AS examples
+FROM final JOIN shown USING (source, template) GROUP BY source, template"""
+
+
+@query("onb2_templates", sql(", lines AS (SELECT 'source-' || vix AS source, raw AS line FROM ln)," + TEMPLATES, "ln"))
 def _(spark, sf):
     return ob.mine_templates(source_lines(spark, sf)).select("source", "template", "size", "coverage_pct", F.array_join("examples", " || ").alias("examples"))
 

@@ -36,6 +36,20 @@ def test_words_that_vary_are_wild(spark):
     assert sum(r["size"] for r in rows) == 15
 
 
+def test_alike_templates_are_merged(spark):
+    # two halves keep their own words by support; they agree in three of five places
+    rows = [f"send mail to {w} now" for w in ("alice", "bob") for _ in range(5)]
+    assert [(r.template, r["size"]) for r in ob.mine_templates(lines(spark, rows)).collect()] == [("send mail to <*> now", 10)]
+    apart = ob.mine_templates(lines(spark, rows), similarity=0.9).collect()
+    assert sorted((r.template, r["size"]) for r in apart) == [("send mail to alice now", 5), ("send mail to bob now", 5)]
+    # one leaf, nothing alike: both lead; blank lines have the empty template
+    rows = ["go on x a b c d"] * 4 + ["go on y e f g h"] * 4 + ["", "  "]
+    got = sorted((r.template, r["size"]) for r in ob.mine_templates(lines(spark, rows)).collect())
+    assert got == [("", 2), ("go on x a b c d", 4), ("go on y e f g h", 4)]
+    tagged = {r.template: r["count"] for r in ob.line_templates(lines(spark, rows)).groupBy("template").count().collect()}
+    assert tagged == dict(got)
+
+
 def test_shape_is_judged_on_all_lines(spark):
     rows = ["a,b,c"] * 25 + ['{"k": 1}'] * 400 + ["broken"]
     assert [r.shape for r in ob.shape(lines(spark, rows)).collect()] == ["json"]
