@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZERO_ROOT = "0" * 64
+# leaves of a subtree that is folded as one array, as a power of two
+FAN_BITS = 10
 
 
 def hash_pair(left: Column, right: Column) -> Column:
@@ -28,6 +30,18 @@ def root(leaves: Column) -> Column:
     return F.when(F.size(leaves) > 0, F.get(top, F.lit(0)))
 
 
+def subtree(nodes: Column) -> Column:
+    """The node FAN_BITS levels above: every step is taken, so a lone last node pairs with itself as in the whole tree."""
+    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(FAN_BITS)), nodes, lambda level, _: next_level(level)), F.lit(0))
+
+
+def subtree_levels(nodes: Column) -> Column:
+    """ARRAY of the FAN_BITS levels below that node, the given one first."""
+    return F.aggregate(
+        F.sequence(F.lit(2), F.lit(FAN_BITS)), F.array(nodes), lambda acc, _: F.concat(acc, F.array(next_level(F.element_at(acc, -1))))
+    )
+
+
 def levels(leaves: Column) -> Column:
     """ARRAY of levels from the leaves to just below the root."""
     steps = F.filter(F.sequence(F.lit(1), F.lit(30)), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h) < F.size(leaves))

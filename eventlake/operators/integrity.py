@@ -57,8 +57,8 @@ def segments(
     sizes = rows.groupBy("dt", "__slot").agg(
         F.ceil(F.greatest(F.count("*") / F.lit(max_events), F.sum("raw_length") / F.lit(max_bytes))).alias("__buckets")
     )
-    # one row of 30 bytes per time slot, 288 a day by default: bounded by the time range, not by the events
-    rows = rows.join(F.broadcast(sizes), ["dt", "__slot"])
+    # one row per time slot; whether it is small enough to broadcast is the planner's to measure
+    rows = rows.join(sizes, ["dt", "__slot"])
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("event_id"), F.col("__buckets").cast("long")))
     order = Window.partitionBy("dt", "__slot", "__bucket").orderBy("received_at", "event_id")
     before = F.coalesce(F.sum("raw_length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -76,17 +76,62 @@ def segments(
     ).drop("__slot", "__buckets", "__bucket", "__start", "__part")
 
 
+# rounds of 2^10 leaves each: up to 2^30 leaves a segment
+ROUNDS = 3
+
+
+def _round(nodes: DataFrame) -> DataFrame:
+    """seg, chunk, its nodes in order (2^FAN_BITS at most), and whether it is the only chunk of its tree."""
+    chunk = F.call_function("shiftright", F.col("at"), F.lit(merkle.FAN_BITS)).alias("chunk")
+    whole = nodes.groupBy("seg", chunk).agg(F.sort_array(F.collect_list(F.struct("at", "sha"))).alias("own"))
+    top = F.max("chunk").over(Window.partitionBy("seg"))
+    return whole.select("seg", "chunk", F.col("own.sha").alias("own"), (top == 0).alias("only"))
+
+
+def tree_roots(nodes: DataFrame) -> DataFrame:
+    """seg and root of leaves (seg, at, sha); at counts from 0 without gaps.
+
+    Subtrees of a fixed number of leaves are folded where they are grouped, then their roots in the same way, so no row
+    holds a whole segment.
+    """
+    for _ in range(ROUNDS):
+        node = F.when(F.col("only"), merkle.root(F.col("own"))).otherwise(merkle.subtree(F.col("own")))
+        nodes = _round(nodes).select("seg", F.col("chunk").alias("at"), node.alias("sha"))
+    return nodes.select("seg", F.col("sha").alias("root"))
+
+
+def tree_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seg, height, at, sha of every node below the root; seg and root) of leaves (seg, at, sha)."""
+    out = None
+    for i in range(ROUNDS):
+        parts = _round(nodes)
+        below = F.when(F.col("only"), merkle.levels(F.col("own"))).otherwise(merkle.subtree_levels(F.col("own")))
+        rows = parts.select("seg", "chunk", F.posexplode(below).alias("k", "level"))
+        rows = rows.select("seg", "chunk", "k", F.posexplode("level").alias("p", "sha"))
+        first = F.call_function("shiftleft", F.col("chunk"), F.lit(merkle.FAN_BITS) - F.col("k"))
+        rows = rows.select("seg", (F.lit(i * merkle.FAN_BITS) + F.col("k")).alias("height"), (first + F.col("p")).alias("at"), "sha")
+        out = rows if out is None else out.unionByName(rows)
+        node = F.when(F.col("only"), merkle.root(F.col("own"))).otherwise(merkle.subtree(F.col("own")))
+        nodes = parts.select("seg", F.col("chunk").alias("at"), node.alias("sha"))
+    return out, nodes.select("seg", F.col("sha").alias("root"))
+
+
+def _ranked(rows: DataFrame, sha: str, *more: str) -> DataFrame:
+    """seg, at (place by sequence number, without gaps), sha and more; a segment is sorted, never gathered in one row."""
+    order = Window.partitionBy("raw_segment_id").orderBy("raw_seq", sha, *more)
+    at = (F.row_number().over(order) - F.lit(1)).cast("long")
+    return rows.select(F.col("raw_segment_id").alias("seg"), at.alias("at"), F.col(sha).alias("sha"), *more)
+
+
 def ledger(refs: DataFrame) -> DataFrame:
     """One row per segment, chained to the one before it in the same day."""
-    leaf = F.struct(F.col("raw_seq").alias("seq"), F.col("raw_sha256").alias("sha"))
     sealed = refs.groupBy("dt", F.col("raw_segment_id").alias("segment_id")).agg(
         F.count("*").alias("event_count"),
         F.sum("raw_length").alias("byte_size"),
         F.max("received_at").alias("sealed_at_ns"),
-        F.sort_array(F.collect_list(leaf)).alias("__leaves"),
     )
-    sealed = sealed.withColumn("merkle_root", merkle.root(F.col("__leaves.sha"))).drop("__leaves")
-    return chain(sealed)
+    roots = tree_roots(_ranked(refs, "raw_sha256")).select("seg", F.col("root").alias("merkle_root"))
+    return chain(sealed.join(roots, F.col("segment_id") == F.col("seg")).drop("seg"))
 
 
 def chain(sealed: DataFrame) -> DataFrame:
@@ -100,12 +145,9 @@ def verify(entries: DataFrame, stored: DataFrame, raw: str = "raw") -> DataFrame
     One row per ledger segment: pass, reason, recomputed root, chain_ok. A missing segment fails.
     """
     now = stored.withColumn("__hash", payload_hash(F.col(raw)))
-    leaf = F.struct(F.col("raw_seq").alias("seq"), F.col("__hash").alias("sha"))
-    again = now.groupBy(F.col("raw_segment_id").alias("segment_id")).agg(
-        F.sort_array(F.collect_list(leaf)).alias("__leaves"),
-        F.min(F.when(F.col("__hash") != F.col("raw_sha256"), F.col("raw_seq"))).alias("__bad"),
-    )
-    again = again.select("segment_id", merkle.root(F.col("__leaves.sha")).alias("recomputed_root"), "__bad")
+    bad = now.groupBy("raw_segment_id").agg(F.min(F.when(F.col("__hash") != F.col("raw_sha256"), F.col("raw_seq"))).alias("__bad"))
+    roots = tree_roots(_ranked(now, "__hash"))
+    again = roots.join(bad, F.col("seg") == F.col("raw_segment_id")).select(F.col("seg").alias("segment_id"), F.col("root").alias("recomputed_root"), "__bad")
     day = Window.partitionBy("dt").orderBy("sealed_at_ns", "segment_id")
     rows = entries.withColumn(
         "chain_ok", F.col("prev_root") == F.lag("merkle_root", 1, merkle.ZERO_ROOT).over(day)
@@ -139,20 +181,16 @@ def overall(report: DataFrame) -> DataFrame:
 def proofs(refs: DataFrame) -> DataFrame:
     """Inclusion proof of every event: leaf, index, path, root.
 
-    Trees are laid out as one row per node; a leaf finds its sibling on each level by an equi-join, so a segment of n
-    events makes n log n narrow rows and no event carries the tree.
+    Trees are laid out as one row per node, built from subtrees of a bounded size; a leaf finds its sibling on each level
+    by an equi-join, so a segment of n events makes n log n narrow rows and neither an event nor a row carries the tree.
     """
-    leaf = F.struct(F.col("raw_seq").alias("seq"), F.col("raw_sha256").alias("sha"))
-    trees = refs.groupBy(F.col("raw_segment_id").alias("__seg")).agg(
-        F.sort_array(F.collect_list(F.struct(leaf.alias("leaf"), F.col("event_id").alias("id")))).alias("__rows")
-    )
-    hashes = F.transform("__rows", lambda r: r["leaf"]["sha"])
-    leaves = trees.select("__seg", F.posexplode("__rows").alias("index", "__row"))
-    leaves = leaves.select("__seg", F.col("__row.id").alias("event_id"), "index", F.col("__row.leaf.sha").alias("leaf"))
-    levels = trees.select("__seg", merkle.root(hashes).alias("root"), merkle.levels(hashes).alias("__levels"))
-    roots = levels.select(F.col("__seg").alias("__s"), "root", F.size("__levels").alias("__depth"), F.size(F.get("__levels", F.lit(0))).alias("__n"))
-    nodes = levels.select("__seg", F.posexplode("__levels").alias("__k", "__level"))
-    nodes = nodes.select(F.col("__seg").alias("__t"), F.col("__k").alias("__h"), F.posexplode("__level").alias("__at", "sibling"))
+    ranked = _ranked(refs, "raw_sha256", "event_id")
+    leaves = ranked.select(F.col("seg").alias("__seg"), "event_id", F.col("at").alias("index"), F.col("sha").alias("leaf"))
+    nodes, tops = tree_nodes(ranked.select("seg", "at", "sha"))
+    nodes = nodes.select(F.col("seg").alias("__t"), F.col("height").alias("__h"), F.col("at").alias("__at"), F.col("sha").alias("sibling"))
+    sizes = refs.groupBy(F.col("raw_segment_id").alias("__s")).agg(F.count("*").alias("__n"))
+    height = F.size(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h) < F.col("__n")))
+    roots = sizes.join(tops, F.col("__s") == F.col("seg")).select("__s", "root", height.alias("__depth"), "__n")
     rows = leaves.join(roots, F.col("__seg") == F.col("__s")).drop("__s")
     step = F.when(F.col("__depth") > 0, F.sequence(F.lit(0), F.col("__depth") - F.lit(1)))
     walk = rows.withColumn("__k", F.explode(step))
@@ -161,7 +199,7 @@ def proofs(refs: DataFrame) -> DataFrame:
     width = F.ceil(F.col("__n") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__k")))
     even = own % F.lit(2) == F.lit(0)
     beside = F.when(even, F.least(own + F.lit(1), width - F.lit(1))).otherwise(own - F.lit(1))
-    walk = walk.select("__seg", "index", "__k", beside.cast("int").alias("__b"), F.when(even, "right").otherwise("left").alias("side"))
+    walk = walk.select("__seg", "index", "__k", beside.cast("long").alias("__b"), F.when(even, "right").otherwise("left").alias("side"))
     met = walk.join(nodes, (F.col("__seg") == F.col("__t")) & (F.col("__k") == F.col("__h")) & (F.col("__b") == F.col("__at")))
     paths = met.groupBy("__seg", "index").agg(F.sort_array(F.collect_list(F.struct("__k", "sibling", "side"))).alias("__p"))
     paths = paths.select("__seg", "index", F.transform("__p", lambda s: F.struct(s["sibling"].alias("sibling"), s["side"].alias("side"))).alias("path"))

@@ -93,6 +93,50 @@ def test_proofs_of_a_full_segment(spark):
     assert tuple(got) == (n, n, 16)
 
 
+def plain_root(leaves):
+    import hashlib
+
+    level = leaves
+    while len(level) > 1:
+        level = level + level[-1:] if len(level) % 2 else level
+        level = [hashlib.sha256(level[i] + level[i + 1]).digest() for i in range(0, len(level), 2)]
+    return level[0].hex()
+
+
+def leaf_hashes(name, n):
+    import hashlib
+
+    return [hashlib.sha256(f"{name}{i}".encode()).digest() for i in range(n)]
+
+
+def segments_of(spark, sizes):
+    """One segment per size, its leaves hashed by Spark."""
+    refs = None
+    for name, n in sizes.items():
+        text = F.concat(F.lit(name), F.col("id").cast("string"))
+        own = spark.range(n).select(
+            F.lit("d").alias("dt"), F.lit(name).alias("raw_segment_id"), text.alias("event_id"), F.col("id").alias("raw_seq"), F.lit(1).alias("raw_length"),
+            F.lit(0).alias("received_at"), F.sha2(text.cast("binary"), 256).alias("raw_sha256"),
+        )
+        refs = own if refs is None else refs.unionByName(own)
+    return refs
+
+
+def test_roots_of_subtrees_equal_the_plain_tree(spark):
+    sizes = {"a": 1, "b": 2, "c": 1023, "d": 1024, "e": 1025, "f": 2047, "g": 2049, "h": 3333}
+    refs = segments_of(spark, sizes)
+    got = {r.segment_id: (r.event_count, r.merkle_root) for r in integrity.ledger(refs).collect()}
+    assert got == {k: (n, plain_root(leaf_hashes(k, n))) for k, n in sizes.items()}
+    proofs = integrity.check_proofs(integrity.proofs(refs)).groupBy("raw_segment_id").agg(F.count_if("verified").alias("n"), F.min(F.size("path")).alias("lo"), F.max(F.size("path")).alias("hi")).collect()
+    assert {r.raw_segment_id: (r.n, r.lo, r.hi) for r in proofs} == {k: (n, (n - 1).bit_length(), (n - 1).bit_length()) for k, n in sizes.items()}
+
+
+def test_a_million_leaves_in_one_segment(spark):
+    n = 1_000_000
+    (row,) = integrity.ledger(segments_of(spark, {"s": n})).collect()
+    assert (row.event_count, row.merkle_root) == (n, plain_root(leaf_hashes("s", n)))
+
+
 def test_lines_keep_their_bytes(spark, tmp_path):
     import hashlib
 
