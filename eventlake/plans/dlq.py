@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlake.functions import timefmt
+from eventlake.sources import merge
 
 
 # entries that a page may have
@@ -39,6 +40,17 @@ def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return best.select("event_id", *[F.col("r")[c].alias(c) for c in rest])
 
 
+def merge_batch(dead: DataFrame, path: str, version: int, buckets: int = merge.BUCKETS) -> int:
+    """Upsert dead letters into the table at `path`; only the buckets of their ids are rewritten. For foreachBatch."""
+    incoming = upsert(entries(dead).limit(0), entries(dead))
+    return merge.merge(incoming, path, version, "event_id", upsert, buckets)
+
+
+def table(spark: SparkSession, path: str, schema) -> DataFrame:  # noqa: ANN001
+    """The merged table, one row per event; schema as `entries` gives it."""
+    return merge.read(spark, path, schema)
+
+
 def listing(
     rows: DataFrame,
     reason: str | None = None,

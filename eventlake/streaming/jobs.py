@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventlake.functions import regexes, timefmt
 from eventlake.operators.framing import MAX_EVENT_BYTES, compiles
-from eventlake.plans.process import Context, process
+from eventlake.plans.process import Context, process, stream_rows
+from eventlake.sources import commits
 from eventlake.sources.writers import Sink, fan_out, write_dead_letters, write_lake
 
 WATERMARK = "30 minutes"
@@ -29,29 +30,61 @@ def dedupe(df: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return timed.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("event_ts")
 
 
+# a live row carries the batch it came with; the newest of a key is the visible one
+_LIVE = "key string, value string, batch long"
+LEGS = ("lake", "dlq", "live")
+
+
+def write_legs(rows: DataFrame, root: str, batch_id: int, extra: dict[str, Sink] | None = None) -> None:
+    """Lake, dead letters and live rows of a batch, visible together once the batch is committed.
+
+    Each leg lies in a folder of the batch, so a batch that is written again after a failure replaces itself. Extra sinks
+    get the rows before the commit and are repeated with it.
+    """
+    write_lake(rows, f"{root}/lake/batch={batch_id}", mode="overwrite", cluster=False)
+    write_dead_letters(rows, f"{root}/dlq/batch={batch_id}", mode="overwrite")
+    live = stream_rows(rows).withColumn("batch", F.lit(batch_id).cast("long"))
+    live.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/live/batch_id={batch_id}")
+    if extra:
+        fan_out(rows, lambda _: None, extra)
+    commits.commit(rows.sparkSession, root, batch_id, {"legs": LEGS})
+
+
+def committed(spark: SparkSession, root: str, leg: str) -> DataFrame | None:
+    """Rows of a leg of all committed batches, none where nothing is committed. Left-overs of failed batches stay hidden."""
+    name = "batch_id" if leg == "live" else "batch"
+    paths = [f"{root}/{leg}/{name}={v}" for v in commits.versions(spark, root)]
+    if not paths:
+        return None
+    reader = spark.read.schema(_LIVE) if leg == "live" else spark.read.option("basePath", f"{root}/{leg}")
+    return reader.parquet(*paths)
+
+
+def live_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """One row per event: the value of the newest batch that carried its key."""
+    rows = committed(spark, root, "live")
+    return rows and rows.groupBy("key").agg(F.max_by("value", "batch").alias("value"))
+
+
 def run_events(
     lines: DataFrame,
     context: Callable[[], Context],
-    lake_path: str,
-    dlq_path: str,
+    root: str,
     checkpoint: str,
     extra: dict[str, Sink] | None = None,
     trigger: dict | None = None,
     processed: Callable[[DataFrame], None] | None = None,
 ) -> DataStreamWriter:
-    """Lines to lake and dead letters (plus extra sinks). `context()` is asked per batch, which reloads packs.
+    """Lines to lake, dead letters and live rows under `root` (plus extra sinks). `context()` is asked per batch, which
+    reloads packs.
 
-    Late events are never dropped: they go to the partition of their own time. The write of a batch
-    lives in a directory of its own, so a retried batch replaces itself.
+    Late events are never dropped: they go to the partition of their own time. Read with `committed` and `live_table`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = process(batch, context()).persist()
         try:
-            write_lake(rows, f"{lake_path}/batch={batch_id}", mode="overwrite", cluster=False)
-            write_dead_letters(rows, f"{dlq_path}/batch={batch_id}", mode="overwrite")
-            if extra:
-                fan_out(rows, lambda _: None, extra)
+            write_legs(rows, root, batch_id, extra)
             if processed:
                 processed(rows)
         finally:
@@ -155,6 +188,9 @@ def quality_drops(events: DataFrame, minutes: int = 15, drop: float = 0.1) -> Da
 # --- raw references that cannot be read yet -----------------------------------------
 
 
+REF = "event_id string, raw_segment_id string, raw_offset long, raw_length long, raw_sha256 string, received_at long"
+
+
 def resolve_refs(refs: DataFrame, stored: DataFrame, now_ns, deadline_ns: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Join references with stored payloads: (readable, to retry, given up).
 
@@ -175,6 +211,77 @@ def resolve_refs(refs: DataFrame, stored: DataFrame, now_ns, deadline_ns: int) -
     )
 
 
+def _step_refs(refs: DataFrame | None, stored: DataFrame, root: str, version: int, now_ns: int, deadline_ns: int, deliver: Callable[[DataFrame, int], None]) -> None:
+    """One turn: new and waiting references are read; what is readable is delivered, what is too old is given up."""
+    spark = stored.sparkSession
+    found = commits.latest(spark, root, version)
+    at = found and found[0]
+    waiting = spark.read.schema(REF).parquet(f"{root}/waiting/v={at}") if found else spark.createDataFrame([], REF)
+    lost = spark.read.schema(REF).parquet(*[f"{root}/gone/v={v}" for v in found[1]["gone"]]) if found and found[1]["gone"] else spark.createDataFrame([], REF)
+    fields = [f.split()[0] for f in REF.split(", ")]
+    todo = (refs.select(*fields).unionByName(waiting) if refs is not None else waiting).persist()
+    try:
+        # a segment that was given up once stays so: its references do not wait again
+        hopeless = lost.select("raw_segment_id").distinct()
+        ready, retry, gone = resolve_refs(todo.join(hopeless, "raw_segment_id", "left_anti").select(*fields), stored, F.lit(now_ns), deadline_ns)
+        gone = gone.select(*fields).unionByName(todo.join(hopeless, "raw_segment_id", "left_semi").select(*fields))
+        deliver(ready.drop("status"), version)
+        retry.select(*fields).write.mode("overwrite").parquet(f"{root}/waiting/v={version}")
+        gone.write.mode("overwrite").parquet(f"{root}/gone/v={version}")
+        commits.commit(spark, root, version, {"gone": [*(found[1]["gone"] if found else []), version]})
+    finally:
+        todo.unpersist()
+
+
+# references of a stream leave room for turns in between that only re-drive what waits
+TURNS = 1_000
+
+
+def run_refs(
+    refs: DataFrame,
+    stored: Callable[[], DataFrame],
+    root: str,
+    checkpoint: str,
+    deliver: Callable[[DataFrame, int], None],
+    now_ns: Callable[[], int],
+    deadline_ns: int,
+    trigger: dict | None = None,
+) -> DataStreamWriter:
+    """References to payloads; those that cannot be read yet wait in a table and are tried again with every batch.
+
+    stored() gives the payloads as they are at that time. deliver(rows with payload, version) must replace what it wrote
+    for the same version. A batch that is repeated starts from the state before it, so nothing is delivered or lost twice.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _step_refs(batch, stored(), root, batch_id * TURNS, now_ns(), deadline_ns, deliver)
+
+    stream = refs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.trigger(**(trigger or {"availableNow": True}))
+
+
+def redrive_refs(stored: DataFrame, root: str, deliver: Callable[[DataFrame, int], None], now_ns: int, deadline_ns: int) -> bool:
+    """Try the waiting references without new ones, between the batches of run_refs; False where there was no batch yet."""
+    found = commits.latest(stored.sparkSession, root)
+    if found is None:
+        return False
+    if (found[0] + 1) % TURNS == 0:
+        raise ValueError(f"{TURNS - 1} turns since the last batch: run the stream")
+    _step_refs(None, stored, root, found[0] + 1, now_ns, deadline_ns, deliver)
+    return True
+
+
+def waiting_refs(spark: SparkSession, root: str) -> DataFrame:
+    """References that still wait."""
+    found = commits.latest(spark, root)
+    return spark.read.schema(REF).parquet(f"{root}/waiting/v={found[0]}") if found else spark.createDataFrame([], REF)
+
+
+def given_up_refs(spark: SparkSession, root: str) -> DataFrame:
+    found = commits.latest(spark, root)
+    return spark.read.schema(REF).parquet(*[f"{root}/gone/v={v}" for v in found[1]["gone"]]) if found else spark.createDataFrame([], REF)
+
+
 def sync_index(spark: SparkSession, ledger_path: str, out_path: str, dt_from: str, dt_to: str) -> None:
     """Mirror the ledger of a day range into the segments table; run it on a schedule."""
     from eventlake.sources.readers import ledger, segments_by_day
