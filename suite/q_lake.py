@@ -401,7 +401,7 @@ def _(spark, sf):
 
 @query("ana11_events_for_node", b_sql("SELECT event_id FROM board WHERE is_dlq AND list_contains(string_split(reason, ','), 'bad_ip')"))
 def _(spark, sf):
-    rows = board(spark, sf).filter("is_dlq")
+    rows = board(spark, sf)
     return graph.events_for_node(rows, graph.edges(rows), "reason:bad_ip").select("event_id")
 
 

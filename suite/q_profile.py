@@ -130,10 +130,10 @@ def _(spark, sf):
 
 @query(
     "onb4_template_values",
-    sql("SELECT event_id, CAST(user_id AS VARCHAR) AS node, CAST(id AS VARCHAR) AS seq, CAST(k AS VARCHAR) AS load FROM ev WHERE vix = 5", "ev"),
+    sql("SELECT event_id, CASE vix WHEN 5 THEN CAST(user_id AS VARCHAR) END AS node, CASE vix WHEN 5 THEN CAST(id AS VARCHAR) END AS seq, CASE vix WHEN 5 THEN CAST(k AS VARCHAR) END AS load FROM ev", "ev"),
 )
 def _(spark, sf):
-    rows = source_lines(spark, sf).filter("source = 'source-5'")
+    rows = source_lines(spark, sf)
     vals = ob.template_values(F.lit("heartbeat node <*> seq <*> load <*>"), F.col("line"))
     return rows.select("event_id", *[F.get(vals, F.lit(i)).alias(n) for i, n in enumerate(["node", "seq", "load"])])
 
