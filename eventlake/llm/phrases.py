@@ -2,9 +2,9 @@
 
 A text is cut into pieces at punctuation, and pieces into words. Documents are dealt into shards of about `SHARD` words of
 one language. Word counts are summed first; words rarer than `least` end a piece, as no phrase with one can be frequent.
-Each shard then holds its text as word ids in two Burrows-Wheeler transforms, of the text and of its reverse, sorted by
-the first `DEPTH` words, which is all that patterns up to that length need. A phrase is an interval in both; prepending or
-appending a word is one step of interval extension that gives the counts of all extensions at once.
+Each shard then holds its text as word ids and has two Burrows-Wheeler transforms, of the text and of its reverse, sorted
+by the first `DEPTH` words, which is all that patterns up to that length need. A phrase is an interval in both; prepending
+or appending a word is one step of interval extension that gives the counts of all extensions at once.
 
 Phrases grow a word at a time, on the left and on the right by turns. In a round a shard finds its own survivors of the
 round before by backward search, extends them, and keeps an extension only if its other end is a survivor too. Counts are
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -165,8 +166,8 @@ def holds(lo: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (where >= 0) & (at < (lo[order] + size[order])[where])
 
 
-def index_of(ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(global id of each symbol, transform of the text, of its reverse) with rare words as ends of pieces.
+def symbols_of(ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(global id of each symbol, text as symbols) with rare words as ends of pieces.
 
     known: for each word number its global id, or -1.
     """
@@ -179,19 +180,23 @@ def index_of(ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not s.any():
         return None
     s = np.append(s, 0) if s[-1] else s
-    return np.concatenate([[-1], frequent]), transform(s), transform(s[::-1])
+    return np.concatenate([[-1], frequent]), s
 
 
 class Shard:
-    def __init__(self, words: np.ndarray, left: np.ndarray, right: np.ndarray):
-        self.words = words
-        self.left, self.right = Side(left, len(words)), Side(right, len(words))
+    """A shard's text; the index of a side is made when that side is extended, which is cheaper than to move it about."""
+
+    def __init__(self, words: np.ndarray, text: np.ndarray):
+        self.words, self.text = words, text
+
+    def side(self, on_left: bool) -> Side:
+        return Side(transform(self.text if on_left else self.text[::-1]), len(self.words))
 
     def grown(self, phrases: np.ndarray | None, on_left: bool) -> tuple[np.ndarray, np.ndarray]:
         """Extensions (symbols, counts) of survivors; of all words where phrases is None."""
         if phrases is None:
             phrases = np.arange(1, len(self.words))[:, None]
-        side = self.left if on_left else self.right
+        side = self.side(on_left)
         lo, size = search(side, phrases if on_left else phrases[:, ::-1])
         of, symbol, at, count = extend(side, lo, size)
         # what the extension begins with, read from its own side, has to be a survivor as well
@@ -204,38 +209,111 @@ class Shard:
 
 # ---- rounds over all shards
 
-INDEX = "shard long, lang string, n long, wide boolean, symbols long, words binary, left binary, right binary"
+INDEX = "shard long, lang string, n long, wide boolean, symbols long, words binary, text binary"
+WORDS = "shard long, lang string, part int, n long, words binary, at binary, counts binary"
+KNOWN = "shard long, lang string, part int, n long, words binary, at binary, ids binary, counts binary"
 GROWN = "shard long, lang string, part int, n long, phrases binary, counts binary"
 KEPT = "shard long, lang string, part int, n long, phrases binary, counts binary, sums boolean"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of equal keys in a sorted array."""
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    return list(zip(at.tolist(), at[1:].tolist()))
+
+
+def _word_blocks(cut: DataFrame, parts: int) -> DataFrame:
+    """The words of each shard with their numbers and counts, in blocks by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words, counts = raw(b.column(2)[i].values), b.column(3)[i].values.to_numpy()
+                part = np.array([crc32(w) % parts for w in words])
+                order = np.argsort(part, kind="stable")
+                out = []
+                for lo, hi in _cuts(part[order]):
+                    at = order[lo:hi]
+                    text = pa.compress(b"\n".join([words[j] for j in at.tolist()]) + b"\n", codec="lz4_raw", asbytes=True)
+                    size = sum(len(words[j]) + 1 for j in at.tolist()).to_bytes(8, "little")
+                    out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), int(part[at[0]]), hi - lo, size + text, pack(at + 1), pack(counts[at])))
+                yield from _table(out, WORDS).to_batches()
+
+    return cut.select("shard", "lang", "words", "counts").mapInArrow(run, WORDS)
 
 
-def _index(cut: DataFrame, frequent: DataFrame) -> DataFrame:
-    numbered = cut.select(F.col("shard").alias("of"), "lang", F.posexplode("words").alias("at", "word"))
-    mapped = numbered.join(frequent, ["lang", "word"]).select("of", "at", "id")
+def _block_words(blob: bytes) -> list[bytes]:
+    text = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="lz4_raw", asbytes=True)
+    return text.split(b"\n")[:-1]
 
+
+def _known_words(blocks: DataFrame, parts: int, least: int) -> DataFrame:
+    """Words whose counts over all shards reach `least`, with ids: a block per language and part, and each shard's own."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        of = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
+        words = pa.array([w for r in rows for w in _block_words(r["words"])], pa.binary()).dictionary_encode()
+        code = words.indices.to_numpy()
+        counts = np.concatenate([unpack(r["counts"], r["n"]) for r in rows])
+        total = np.zeros(len(words.dictionary), np.int64)
+        np.add.at(total, code, counts)
+        good = np.flatnonzero(total >= least)
+        id_ = np.full(len(total), -1, np.int64)
+        id_[good] = np.arange(len(good)) * parts + rows[0]["part"]
+        lang, part, out = rows[0]["lang"], rows[0]["part"], []
+        if len(good):
+            names = b"\n".join(words.dictionary.take(pa.array(good)).to_pylist())
+            out.append((None, lang, part, len(good), names, None, pack(id_[good]), pack(total[good])))
+        at = np.concatenate([unpack(r["at"], r["n"]) for r in rows])
+        stays = id_[code] >= 0
+        of, at, code = of[stays], at[stays], code[stays]
+        out += [(rows[of[a]]["shard"], lang, part, b - a, None, pack(at[a:b]), pack(id_[code[a:b]]), None) for a, b in _cuts(of)]
+        return _table(out, KNOWN)
+
+    return stored(blocks.groupBy("lang", "part").applyInArrow(add, KNOWN))
+
+
+def _named(known: DataFrame) -> DataFrame:
+    """lang, word, id and f of all frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, n, words, ids, counts in zip(*(c.to_pylist() for c in b.columns)):
+                cols = [pa.array([lang] * n, pa.string()), pa.array(words.split(b"\n"), pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(unpack(ids, n), pa.int64()), pa.array(unpack(counts, n), pa.int64())], ["lang", "word", "id", "f"])
+
+    return known.filter("shard is null").select("lang", "n", "words", "ids", "counts").mapInArrow(run, "lang string, word string, id long, f long")
+
+
+def _index(cut: DataFrame, known: DataFrame) -> DataFrame:
     def build(own: pa.Table, ids: pa.Table) -> pa.Table:
         out = []
         if own.num_rows and ids.num_rows:
             row = own.to_pylist()[0]
-            known = np.full(row["n_words"] + 1, -1, np.int64)
-            known[ids.column("at").to_numpy() + 1] = ids.column("id").to_numpy()
-            made = index_of(unpack(row["ids"], row["n"], "<i4"), known)
+            of = np.full(row["n_words"] + 1, -1, np.int64)
+            for n, at, id_ in zip(*(ids.column(c).to_pylist() for c in ("n", "at", "ids"))):
+                of[unpack(at, n)] = unpack(id_, n)
+            made = symbols_of(unpack(row["ids"], row["n"], "<i4"), of)
             if made:
-                words, left, right = made
+                words, text = made
                 wide = len(words) > 65_535
-                kind = "<i4" if wide else "<u2"
-                out.append((row["shard"], row["lang"], len(left), wide, len(words), pack(words), pack(left, kind), pack(right, kind)))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        names = [x.split()[0] for x in INDEX.split(", ")]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+                out.append((row["shard"], row["lang"], len(text), wide, len(words), pack(words), pack(text, "<i4" if wide else "<u2")))
+        return _table(out, INDEX)
 
     left = cut.select("shard", "lang", "n", "ids", F.size("words").alias("n_words"))
-    return stored(left.groupBy("shard").cogroup(mapped.groupBy("of")).applyInArrow(build, INDEX))
+    own = known.filter("shard is not null").select(F.col("shard").alias("of"), "n", "at", "ids")
+    return stored(left.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(build, INDEX))
 
 
 def _open(row: dict) -> Shard:
-    kind = "<i4" if row["wide"] else "<u2"
-    return Shard(unpack(row["words"], row["symbols"]), unpack(row["left"], row["n"], kind), unpack(row["right"], row["n"], kind))
+    return Shard(unpack(row["words"], row["symbols"]), unpack(row["text"], row["n"], "<i4" if row["wide"] else "<u2"))
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -254,10 +332,7 @@ def _blocks(row: dict, phrases: np.ndarray | None, on_left: bool, parts: int) ->
     part = _part_of(keys, parts)
     order = np.lexsort((*keys.T[::-1], part))
     keys, counts, part = keys[order], counts[order], part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
-    out = [(row["shard"], row["lang"], int(part[a]), b - a, pack(keys[a:b].T), pack(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in GROWN.split(", ")])
+    return _table([(row["shard"], row["lang"], int(part[a]), b - a, pack(keys[a:b].T), pack(counts[a:b])) for a, b in _cuts(part)], GROWN)
 
 
 def _first_round(index: DataFrame, parts: int) -> DataFrame:
@@ -272,7 +347,7 @@ def _first_round(index: DataFrame, parts: int) -> DataFrame:
 def _next_round(index: DataFrame, kept: DataFrame, length: int, on_left: bool, parts: int) -> DataFrame:
     def run(own: pa.Table, survivors: pa.Table) -> pa.Table:
         if not own.num_rows or not survivors.num_rows:
-            return pa.Table.from_batches([], pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())]))
+            return _table([], GROWN)
         row = own.to_pylist()[0]
         words = unpack(row["words"], row["symbols"])
         keys = [unpack(p, n * length).reshape(length, n).T for n, p in zip(survivors.column("n").to_pylist(), survivors.column("phrases").to_pylist())]
@@ -302,10 +377,8 @@ def _summed(grown: DataFrame, length: int, least: int) -> DataFrame:
         keys, of = keys[stays], of[stays]
         order = np.argsort(of, kind="stable")
         keys, of = keys[order], of[order]
-        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else []
-        out += [(rows[of[a]]["shard"], rows[0]["lang"], rows[0]["part"], int(b - a), pack(keys[a:b].T), b"", False) for a, b in zip(cuts, cuts[1:])]
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in KEPT.split(", ")])
+        out += [(rows[of[a]]["shard"], rows[0]["lang"], rows[0]["part"], b - a, pack(keys[a:b].T), b"", False) for a, b in _cuts(of)]
+        return _table(out, KEPT)
 
     return stored(grown.groupBy("lang", "part").applyInArrow(add, KEPT))
 
@@ -330,14 +403,13 @@ def mine(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int = SH
     if not 1 <= depth <= DEPTH:
         raise ValueError(f"phrases have 1 to {DEPTH} words")
     cut = shards(docs, size)
-    each = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    total = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
-    frequent = stored(total.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
     in_all = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
     totals = cut.select("lang", in_all.alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    found = [frequent.select("lang", F.array("word").alias("words"), "f")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = _index(cut, frequent.select("lang", "word", "id")) if depth > 1 else None
+    known = _known_words(_word_blocks(cut, parts), parts, least)
+    frequent = _named(known)
+    found = [frequent.select("lang", F.array("word").alias("words"), "f")]
+    index = _index(cut, known) if depth > 1 else None
     kept = ids = None
     for length in range(2, depth + 1):
         on_left = length % 2 == 0
@@ -347,10 +419,9 @@ def mine(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int = SH
         own = _phrases(blocks.filter("sums"), length)
         ids = own if ids is None else ids.unionByName(own)
     if ids is not None:
-        # words by id: one join per place of a phrase, over survivors only
-        named = frequent.select("id", "word")
+        # the words of survivors by their ids
         placed = stored(ids.withColumn("k", F.monotonically_increasing_id()))
-        flat = placed.select("k", F.posexplode("ids").alias("at", "id")).join(named, "id")
+        flat = placed.select("k", "lang", F.posexplode("ids").alias("at", "id")).join(frequent.select("lang", "id", "word"), ["lang", "id"])
         worded = flat.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
         found.append(placed.join(worded, "k").select("lang", F.transform("w", lambda x: x.word).alias("words"), "f"))
     out = found[0]
