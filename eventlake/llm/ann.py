@@ -117,6 +117,22 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
+def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, inner products) of the k nearest of some vectors.
+
+    A product over many rows gives equal vectors last bits by their place, so it only chooses, with a margin; what is chosen
+    is scored row by row, which is the same for equal vectors.
+    """
+    some = np.arange(len(ids))
+    if len(ids) > k:
+        rough = x @ q
+        bound = np.partition(rough, len(rough) - k)[len(rough) - k]
+        some = np.flatnonzero(rough >= bound - 1e-9 * np.abs(rough).max())
+    exact = (x[some] * q).sum(1)
+    top = best(ids[some], exact, k)
+    return ids[some][top], exact[top]
+
+
 def build(vectors: DataFrame) -> DataFrame:
     """The index: (dim, vec_id, row, embedding) rows in stored blocks; each partition of it holds whole blocks."""
     size = F.size("embedding").alias("dim")
@@ -173,9 +189,7 @@ def _pass(dealt: DataFrame, asked, k: int, share: float) -> DataFrame:  # noqa:
                     continue
                 at = arrays.colliding(projected[i], need) if arrays else np.arange(len(places))
                 at = at[own_rows[at] != q_rows[i]]
-                score = own[at] @ q[i]
-                top = best(own_ids[at], score, k)
-                found = own_ids[at][top], score[top]
+                found = nearest(own_ids[at], own[at], q[i], k)
                 if before is not None:
                     both = [np.concatenate(pair) for pair in zip(before, found)]
                     top = best(*both, k)

@@ -58,3 +58,20 @@ def test_recall_with_unequal_norms(spark, norms):
         score[q] = -np.inf
         hit += len(got[q] & set(np.argsort(-score)[:20].tolist()))
     assert hit / (20 * 100) >= 0.9
+
+
+@pytest.mark.parametrize("copies", [30, 119, 400])
+def test_many_equal_vectors(spark, copies):
+    rnd = np.random.default_rng(copies)
+    kinds = rnd.standard_normal((4, 7))
+    rows = [(i, kinds[i % 4].tolist()) for i in range(4 * copies)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got: dict[int, list] = {}
+    for r in ann.search(ann.build(df), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 4 * copies, 20):
+        score = (kinds * kinds[q % 4]).sum(1)
+        want = sorted(((i, score[i % 4]) for i in range(4 * copies) if i != q), key=lambda p: (-p[1], p[0]))[:20]
+        assert [v for v, _ in got[q]] == [v for v, _ in want]
+        # copies score alike to the last bit
+        assert len({s for v, s in got[q] if v % 4 == got[q][0][0] % 4}) == 1
