@@ -177,14 +177,57 @@ def throughput(df: DataFrame, ts: str = "event_ts", size: str = "3 seconds", sli
 
 def quality_drops(events: DataFrame, minutes: int = 15, drop: float = 0.1) -> DataFrame:
     """Parsers whose mean quality fell by more than `drop` from one window to the next."""
-    w = F.window(timefmt.from_ns(F.col("event_observed_at")), f"{minutes} minutes")
-    means = events.groupBy("lineage_parser_id", w.alias("w")).agg(F.avg("quality_score").alias("quality"))
     order = Window.partitionBy("lineage_parser_id").orderBy("start")
-    rows = means.select("lineage_parser_id", F.col("w.start").alias("start"), "quality")
+    rows = _means(events.withColumn("event_ts", timefmt.from_ns(F.col("event_observed_at"))), minutes, "event_ts")
     rows = rows.withColumn("previous", F.lag("quality").over(order))
     return rows.filter(F.col("quality") < F.col("previous") * F.lit(1 - drop))
 
 
+def _means(events: DataFrame, minutes: int, ts: str) -> DataFrame:
+    w = F.window(ts, f"{minutes} minutes")
+    means = events.groupBy("lineage_parser_id", w.alias("w")).agg(F.avg("quality_score").alias("quality"))
+    return means.select("lineage_parser_id", F.col("w.start").alias("start"), "quality")
+
+
+_ALERT = "lineage_parser_id string, start timestamp, quality double, previous double"
+
+
+def watch_quality(
+    events: DataFrame, root: str, checkpoint: str, minutes: int = 15, drop: float = 0.1, delay: str = WATERMARK, trigger: dict | None = None
+) -> DataStreamWriter:
+    """Streaming form of quality_drops: a window is judged once, when the watermark has passed its end.
+
+    The mean of each parser's last closed window is kept, one row per parser, so a window is compared with the one before
+    it also where they close in different batches. Read the alerts with `quality_alerts`; a repeated batch replaces its own.
+    """
+    timed = events.withColumn("event_ts", timefmt.from_ns(F.col("event_observed_at"))).withWatermark("event_ts", delay)
+
+    def write(closed: DataFrame, batch_id: int) -> None:
+        spark = closed.sparkSession
+        found = commits.latest(spark, root, batch_id)
+        last = spark.read.schema(_ALERT).parquet(f"{root}/last/v={found[0]}") if found else spark.createDataFrame([], _ALERT)
+        fresh = closed.select("lineage_parser_id", "start", "quality", F.lit(True).alias("__new"))
+        order = Window.partitionBy("lineage_parser_id").orderBy("start")
+        rows = fresh.unionByName(last.select("lineage_parser_id", "start", "quality", F.lit(False).alias("__new")))
+        rows = rows.withColumn("previous", F.lag("quality").over(order)).persist()
+        try:
+            alerts = rows.filter(F.col("__new") & (F.col("quality") < F.col("previous") * F.lit(1 - drop)))
+            alerts.select("lineage_parser_id", "start", "quality", "previous").write.mode("overwrite").parquet(f"{root}/alerts/v={batch_id}")
+            newest = rows.groupBy("lineage_parser_id").agg(F.max_by(F.struct("start", "quality", "previous"), "start").alias("r"))
+            newest.select("lineage_parser_id", "r.*").write.mode("overwrite").parquet(f"{root}/last/v={batch_id}")
+            commits.commit(spark, root, batch_id, {})
+        finally:
+            rows.unpersist()
+
+    stream = _means(timed, minutes, "event_ts").writeStream.outputMode("append").foreachBatch(write)
+    return stream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+
+
+def quality_alerts(spark: SparkSession, root: str) -> DataFrame:
+    paths = [f"{root}/alerts/v={v}" for v in commits.versions(spark, root)]
+    return spark.read.schema(_ALERT).parquet(*paths) if paths else spark.createDataFrame([], _ALERT)
+
+
 # --- raw references that cannot be read yet -----------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions import timefmt
 from eventlake.functions.net import ipv4_to_long, is_ip, is_internal
+from eventlake.functions.session_functions import register
 from eventlake.operators import enrich as en
 from eventlake.operators.cidr import cidr_lookup
 from eventlake.operators.framing import truncate
@@ -101,6 +102,16 @@ def _(spark, sf):
     return nets.groupBy("country").agg(F.count("*").alias("networks"), F.sum(size).alias("addresses"))
 
 
+@query(
+    "ext5_networks_in_sql",
+    sql("SELECT event_id, CASE WHEN vix < 5 THEN dst_ip LIKE '10.%' END AS inside, "
+        "CASE WHEN vix < 5 AND id % 101 > 0 THEN ((20 + user_id % 200) * 16777216 + (id % 255) * 65536 + (k % 255) * 256 + 1 + user_id % 254) END AS number FROM ev", "ev"),
+)
+def _(spark, sf):
+    register(spark)
+    return spark.sql("SELECT event_id, cidr_match(dst_ip, '10.0.0.0/12') AS inside, ip_number(src_ip) AS number FROM {rows}", rows=inputs.event_rows(spark, sf))
+
+
 # --- identification ----------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlake.functions import timefmt
+from eventlake.functions.session_functions import register
 from eventlake.operators import integrity
 from eventlake.plans import analytics as an
 from eventlake.plans import graph
@@ -201,6 +202,16 @@ def _(spark, sf):
     return integrity.ledger(preserved(spark, sf)).select("segment_id", "merkle_root")
 
 
+@query("ext5_merkle_in_sql", seg_sql("SELECT seg AS segment_id, root AS merkle_root FROM roots"))
+def _(spark, sf):
+    register(spark)
+    return spark.sql(
+        "SELECT raw_segment_id AS segment_id, merkle_root(transform(array_sort(array_agg(struct(raw_seq, raw_sha256))), x -> x.raw_sha256)) AS merkle_root "
+        "FROM {refs} GROUP BY raw_segment_id",
+        refs=preserved(spark, sf),
+    )
+
+
 @query("int5_chain", seg_sql("SELECT seg AS segment_id, prev AS prev_root, day AS dt FROM ledger"))
 def _(spark, sf):
     return integrity.ledger(preserved(spark, sf)).select("segment_id", "prev_root", "dt")
@@ -399,7 +410,8 @@ def _(spark, sf):
     return graph.nodes(graph.edges(board(spark, sf))).select("id", "kind")
 
 
-@query("ana11_events_for_node", b_sql("SELECT event_id FROM board WHERE is_dlq AND list_contains(string_split(reason, ','), 'bad_ip')"))
+# every board row of an event that is next to the node, whichever of its rows names the reason
+@query("ana11_events_for_node", b_sql("SELECT event_id FROM board WHERE event_id IN (SELECT event_id FROM board WHERE is_dlq AND list_contains(string_split(reason, ','), 'bad_ip'))"))
 def _(spark, sf):
     rows = board(spark, sf)
     return graph.events_for_node(rows, graph.edges(rows), "reason:bad_ip").select("event_id")

@@ -178,3 +178,21 @@ def test_raw_ref_rejects_are_kept(spark):
     df = spark.createDataFrame([('{"event_id":"e","ref":{"segment_id":"s","offset":1,"length":2,"sha256":"x"}}',), ("nope",), ("{}",)], "value string")
     good, bad = readers.raw_ref_messages(df)
     assert good.count() == 1 and bad.count() == 2 and good.first().raw_offset == 1
+
+
+def test_quality_alerts_once_per_window(spark, tmp_path):
+    schema = "lineage_parser_id string, event_observed_at long, quality_score double"
+    minute = 60 * 10**9
+    root = str(tmp_path / "alerts")
+    rows = {"a": [0.9, 0.9, 0.6, 0.6, 0.5, 0.9], "b": [0.5, 0.49, 0.6, 0.2, 0.2, 0.2]}
+
+    def run(*windows):
+        put(spark, tmp_path / "in", [(p, (15 * w + m) * minute, q[w]) for p, q in rows.items() for w in windows for m in (1, 9)], schema)
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        jobs.watch_quality(stream, root, str(tmp_path / "cp"), delay="1 minute").start().awaitTermination(120)
+        return sorted((r.lineage_parser_id, int(r.start.timestamp()) // 900, r.quality, r.previous) for r in jobs.quality_alerts(spark, root).collect())
+
+    # the last window stays open until later events close it
+    assert run(0, 1, 2) == []
+    assert run(3) == [("a", 2, 0.6, 0.9)]
+    assert run(4, 5) == [("a", 2, 0.6, 0.9), ("a", 4, 0.5, 0.6), ("b", 3, 0.2, 0.6)]
