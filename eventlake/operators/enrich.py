@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +191,47 @@ def _isolated(df: DataFrame, step: Enricher) -> DataFrame:
     return out
 
 
+def _by_halves(fn: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """fn on rows; where it fails, on halves of them, until the rows that fail stand alone with their error."""
+    try:
+        out = fn(rows)
+        if len(out) != len(rows):
+            raise ValueError(f"{len(out)} rows for {len(rows)}")
+        return out[names].reset_index(drop=True).assign(error=None)
+    except Exception as exc:  # noqa: BLE001 - foreign code; the row keeps its event and the error is recorded
+        if len(rows) == 1:
+            return pd.DataFrame({n: [None] for n in names}).assign(error=f"{type(exc).__name__}: {exc}"[:500])
+        half = len(rows) // 2
+        parts = [_by_halves(fn, rows.iloc[:half], names), _by_halves(fn, rows.iloc[half:], names)]
+        return pd.concat([p.astype(object) for p in parts], ignore_index=True)
+
+
+def guarded(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], inputs: list[str], outputs: str) -> Enricher:
+    """An enricher by a pandas function of some columns that gives the columns `outputs` ("a string, b long"), row by row.
+
+    A row on which it fails at run time keeps its event: its new columns are null, and `enrich_errors` names the enricher
+    and the error. Rows beside it are not touched. Only the inputs travel to Python, in Arrow batches.
+    """
+    names = [f.split()[0] for f in outputs.split(", ")]
+
+    @F.pandas_udf(f"{outputs}, error string")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        # pieces that were computed apart may differ in their pandas types; missing values are null in all of them
+        out = _by_halves(fn, rows, names)
+        return out.astype(object).where(out.notna(), None)
+
+    def step(df: DataFrame) -> DataFrame:
+        before = F.col("enrich_errors") if "enrich_errors" in df.columns else F.array().cast("array<string>")
+        rows = df.withColumn("__got", run(F.struct(*inputs)))
+        error = F.concat(F.lit(f"{name}: "), F.col("__got.error"))
+        own = {n: F.col(f"__got.{n}") for n in names}
+        errors = F.when(error.isNotNull(), F.concat(before, F.array(error))).otherwise(before)
+        return rows.withColumns({**own, "enrich_errors": errors}).drop("__got")
+
+    step.__name__ = name
+    return step
+
+
 def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = ()) -> DataFrame:
     """The fixed chain, then any extra enrichers, then risk. Left joins only, so no row is lost.
 

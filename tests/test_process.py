@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventlake.functions.net import ipv4_to_long, ipv6_to_hex, is_ip, is_internal
 from eventlake.operators import lookup
 from eventlake.operators.cidr import build_cidr_table, build_tables, cidr_lookup
-from eventlake.operators.enrich import Dimensions
+from eventlake.operators.enrich import guarded, Dimensions
 from eventlake.operators.normalize import timestamp_value
 from eventlake.plans.process import Context, compat_rows, dead_letters, flat_rows, process
 from eventlake.schema import FLAT_NAMES
@@ -123,6 +123,27 @@ def test_two_tables_in_one_lookup(spark, tmp_path):
     assert plan.count("BroadcastHashJoin") == 2
 
 
+def test_rows_that_fail_at_run_time_keep_their_event(spark):
+    def halve(rows):
+        if (rows["n"] == 13).any() or rows["s"].isna().any():
+            raise ValueError("no half of it")
+        return rows.assign(half=rows["n"] // 2, low=rows["s"].str.lower())
+
+    df = spark.range(200).select("id", F.col("id").alias("n"), F.when(F.col("id") != 150, F.concat(F.lit("S"), F.col("id").cast("string"))).alias("s")).coalesce(1)
+    steps = [guarded("halve", halve, ["n", "s"], "half long, low string"), guarded("drop", lambda rows: rows[rows["n"] > 5].assign(x=1), ["n"], "x int")]
+    out = df
+    for step in steps:
+        out = step(out)
+    rows = {r.id: r for r in out.collect()}
+    assert sorted(rows) == list(range(200))
+    for i, r in rows.items():
+        bad = i in (13, 150)
+        assert (r.half, r.low) == ((None, None) if bad else (i // 2, f"s{i}"))
+        # the second enricher loses rows: each of them is one that failed
+        want = (["halve: ValueError: no half of it"] if bad else []) + (["drop: ValueError: 0 rows for 1"] if i <= 5 else [])
+        assert r.enrich_errors == want and r.x == (None if i <= 5 else 1)
+
+
 def test_bad_cidr_is_a_load_error(spark):
     with pytest.raises(Exception, match="bad cidr"):
         build_cidr_table(spark.createDataFrame([("10.0.0.0/99", 0, "x")], "cidr string, ord long, name string"), ["name"])
