@@ -149,8 +149,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the narrow events anew before lines are rendered from them: the given tables are single small files."""
-    return df.repartition("event_id")
+    """Deal the narrow events anew before lines are rendered from them: the given tables are single small files.
+
+    The number is stated, as the adaptive planner would else merge these few bytes into two or three parts, and all that is
+    made of them, parsing included, would use as many cores.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_id")
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
