@@ -113,7 +113,9 @@ def _rfc3164(fs: FieldSet, body: Column) -> None:
     """month day [year] time host tag: message."""
     words = fs.stage(F.filter(F.split(body, rf"{_SPACE}+", 7), lambda w: w != ""))
     enough = F.size(words) >= 4
-    year = (F.size(words) >= 5) & F.coalesce(F.get(words, F.lit(2)).rlike(r"\A[0-9]{4}\z"), F.lit(False))
+    # four digits are a year only where a time follows: any other line may have a number as its third word
+    dated = F.get(words, F.lit(2)).rlike(r"\A[0-9]{4}\z") & F.get(words, F.lit(3)).rlike(r"\A[0-9]{1,2}:[0-9]{2}")
+    year = (F.size(words) >= 5) & F.coalesce(dated, F.lit(False))
     stamp = F.when(year, F.array_join(F.slice(words, 1, 4), " ")).otherwise(F.array_join(F.slice(words, 1, 3), " "))
     fs.set("timestamp", F.when(enough, stamp))
 

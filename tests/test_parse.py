@@ -45,6 +45,12 @@ def test_syslog_shapes(spark):
     assert "pri" not in got[5][0] and all(s == "ok" for _, s in got)
 
 
+def test_syslog_year_is_followed_by_a_time(spark):
+    got = run(spark, ["heartbeat node 1452 seq 9 load 1", "<13>Sep 07 2026 4:02:11.5 fw a: b"], [{"op": "syslog"}])
+    assert got[0][0] == {"timestamp": "heartbeat node 1452", "hostname": "seq", "message": "9 load 1"}
+    assert (got[1][0]["timestamp"], got[1][0]["hostname"], got[1][0]["appname"]) == ("Sep 07 2026 4:02:11.5", "fw", "a")
+
+
 def test_dissect_forward_search_and_partial(spark):
     steps = [{"op": "dissect", "pattern": "user=%{u} from %{ip}:%{port} %{_}end"}]
     got = run(spark, ["junk user=bob from 1.2.3.4:80 xx end", "user=bob from 1.2.3.4", "nothing"], steps)
