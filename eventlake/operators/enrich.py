@@ -232,30 +232,57 @@ def guarded(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], inputs: list[
     return step
 
 
-def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = ()) -> DataFrame:
+# Columns that a step of the chain makes and what it reads for them. Risk comes last.
+ADDRESSES = ("src_ip", "dst_ip")
+GEO_MADE = tuple(n for s in ("src", "dst") for n in _names(GEO, s).values())
+ASN_MADE = tuple(n for s in ("src", "dst") for n in _names(ASN, s).values())
+STEPS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "places": (GEO_MADE + ASN_MADE, ADDRESSES),
+    "geo": (GEO_MADE, ADDRESSES),
+    "asn": (ASN_MADE, ADDRESSES),
+    "internal": (("enrich_src_is_internal", "enrich_dst_is_internal"), ADDRESSES),
+    "asset": (("dst_asset_critical",), ("dst_ip",)),
+    "identity": (("actor_user",), ("actor_user", "src_user")),
+    "ioc": (("enrich_ioc_match", "enrich_ioc_indicator", "threat_category"), (*ADDRESSES, "url_domain", "threat_category")),
+    "mitre": (("threat_mitre_tactic", "threat_mitre_technique"), ("threat_mitre_tactic", "threat_mitre_technique", "threat_signature_id")),
+    "risk": (
+        ("enrich_risk_score", "risk_factors"),
+        ("event_severity_id", "event_action", "enrich_ioc_match", "enrich_src_is_internal", "dst_asset_critical"),
+    ),
+}
+
+
+def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = (), wanted: set[str] | None = None) -> DataFrame:
     """The fixed chain, then any extra enrichers, then risk. Left joins only, so no row is lost.
 
+    With `wanted`, steps that make none of these columns are left out; df has what the others read.
+
     Rows that could not be identified or mapped (v_fault) have no addresses, so they pass through.
     """
+
+    def runs(step: str) -> bool:
+        return wanted is None or not wanted.isdisjoint(STEPS[step][0])
+
     steps: list[Enricher] = []
-    if dims.places:
+    if dims.places and runs("places"):
         steps.append(lambda d: places(d, dims.places))
-    if dims.geo:
+    if dims.geo and runs("geo"):
         steps.append(lambda d: geo(d, dims.geo))
-    if dims.asn:
+    if dims.asn and runs("asn"):
         steps.append(lambda d: asn(d, dims.asn))
-    steps.append(lambda d: internal(d, dims.internal_cidrs))
-    if dims.assets:
+    if runs("internal"):
+        steps.append(lambda d: internal(d, dims.internal_cidrs))
+    if dims.assets and runs("asset"):
         steps.append(lambda d: asset(d, dims.assets))
-    if dims.identities:
+    if dims.identities and runs("identity"):
         steps.append(lambda d: identity(d, dims.identities))
-    if dims.iocs:
+    if dims.iocs and runs("ioc"):
         steps.append(lambda d: ioc(d, dims.iocs, dims.match_domains))
-    if dims.mitre:
+    if dims.mitre and runs("mitre"):
         steps.append(lambda d: mitre(d, dims.mitre))
     missing = {"enrich_ioc_match": F.lit(None).cast("boolean")}
     # the numeric addresses are computed once and shared by every range lookup
-    df = df.withColumns({f"__{s}_n": ipv4_to_long(F.col(f"{s}_ip")) for s in ("src", "dst")})
+    df = df.withColumns({f"__{s}_n": ipv4_to_long(F.col(f"{s}_ip")) for s in ("src", "dst") if f"{s}_ip" in df.columns})
     for step in steps:
         df = df.transform(step)
     for step in extra:
@@ -264,4 +291,4 @@ def enrich(df: DataFrame, dims: Dimensions, extra: list[Enricher] = ()) -> DataF
     for name, empty in missing.items():
         if name not in df.columns:
             df = df.withColumn(name, empty)
-    return risk(df)
+    return risk(df) if runs("risk") else df

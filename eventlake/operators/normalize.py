@@ -119,8 +119,10 @@ def unmapped_fields(parsed: ParsedPack, mapping: Mapping, fields: dict[str, Mapp
     return F.when(any_failed, F.map_concat(rest, extra)).otherwise(rest)
 
 
-def normalize(df: DataFrame, packs: PackSet, now: Column, text: str = "raw", node_id: str = "") -> DataFrame:
-    """Identified lines to flat event rows (enrichment and quality still empty).
+def normalize(
+    df: DataFrame, packs: PackSet, now: Column, text: str = "raw", node_id: str = "", wanted: set[str] | None = None
+) -> DataFrame:
+    """Identified lines to flat event rows (enrichment and quality still empty): all columns, or those of `wanted`.
 
     Input columns: parser_id, the line, event_id, received_at (ns); optional raw_* references and
     processing_ms. Helper columns for validation start with `v_`.
@@ -181,10 +183,17 @@ def normalize(df: DataFrame, packs: PackSet, now: Column, text: str = "raw", nod
     out["v_fault"] = F.when(unidentified, F.lit("unknown_source")).when(unmappable, F.lit("missing_mapping"))
 
     names = [c.name for c in COLUMNS if c.name in out] + [n for n in out if n.startswith("v_")]
-    flat = seal(df.select(*[out[n].alias(n) for n in names]))
+    if wanted is not None:
+        names = [n for n in names if n in wanted]
+    # plain columns of the input stay outside the seal, so a filter on them reaches the source
+    plain = [n for n in names if n in ("event_id", "event_ingested_at")]
+    flat = df.select(*[out[n].alias(n) for n in names])
+    if names != plain:
+        flat = seal(flat, [n for n in names if n not in plain]).select(*names)
     total = F.coalesce(F.nullif(F.col("network_bytes_total"), F.lit(0)), _sum_if_any("network_bytes_in", "network_bytes_out"))
     skew = timefmt.idiv(F.col("event_ingested_at") - F.col("event_observed_at"), timefmt.NS_PER_MS)
-    return flat.withColumns({"network_bytes_total": total, "event_time_skew_ms": F.when(F.col("v_fault").isNull(), skew)})
+    derived = {"network_bytes_total": total, "event_time_skew_ms": F.when(F.col("v_fault").isNull(), skew)}
+    return flat.withColumns({n: c for n, c in derived.items() if wanted is None or n in wanted})
 
 
 def _sum_if_any(a: str, b: str) -> Column:

@@ -89,11 +89,19 @@ def violations(now_ns: Column) -> Column:
     return F.when(F.col("v_fault").isNotNull(), fault).otherwise(F.array_compact(F.array(*checks)))
 
 
-def validate(df: DataFrame, now_ns: Column) -> DataFrame:
-    """Add quality_score and violations."""
+# Columns that validation makes and what it reads for them.
+CHECKS: dict[str, tuple[str, ...]] = {
+    "quality_score": ("v_mapped", "v_expected", "v_confidence", "v_fault"),
+    "violations": (*REQUIRED, *ENUMS, *RANGES, "src_ip", "dst_ip", "v_fault"),
+}
+
+
+def validate(df: DataFrame, now_ns: Column, wanted: set[str] | None = None) -> DataFrame:
+    """Add quality_score and violations, or those of them that are wanted."""
     score = quality(F.col("v_mapped"), F.col("v_expected"), F.col("v_confidence"))
-    df = df.withColumn("quality_score", F.when(F.col("v_fault").isNotNull(), F.lit(0.0)).otherwise(score))
-    return df.withColumn("violations", violations(now_ns))
+    if wanted is None or "quality_score" in wanted:
+        df = df.withColumn("quality_score", F.when(F.col("v_fault").isNotNull(), F.lit(0.0)).otherwise(score))
+    return df.withColumn("violations", violations(now_ns)) if wanted is None or "violations" in wanted else df
 
 
 def count_by_reason(df: DataFrame) -> DataFrame:

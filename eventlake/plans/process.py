@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions import timefmt
-from eventlake.operators.enrich import Dimensions, Enricher, enrich
+from eventlake.operators.enrich import STEPS, Dimensions, Enricher, enrich
 from eventlake.operators.identify import identify
 from eventlake.operators.lookup import LookupTable
 from eventlake.operators.normalize import normalize
-from eventlake.operators.validate import validate
+from eventlake.operators.validate import CHECKS, validate
 from eventlake.schema import COLUMNS, STREAM_COLUMNS
 from eventlake.sources.packs import PackSet, load_packs
 
@@ -38,12 +38,36 @@ class Context:
         return timefmt.to_ns(self.now_ts)
 
 
-def process(df: DataFrame, ctx: Context, text: str = "raw") -> DataFrame:
-    """identify, parse, normalize, enrich, validate. Every input row gives one output row."""
+# what a derived column is made of; a column that is not named here comes from the line itself
+MADE_OF: dict[str, set[str]] = {
+    "network_bytes_total": {"network_bytes_total", "network_bytes_in", "network_bytes_out"},
+    "event_time_skew_ms": {"event_ingested_at", "event_observed_at", "v_fault"},
+    **{name: set(reads) for made, reads in STEPS.values() for name in made},
+    **{name: set(reads) for name, reads in CHECKS.items()},
+}
+
+
+def needed(columns: list[str]) -> set[str]:
+    """These columns and all that they are made of."""
+    found, ahead = set(), set(columns)
+    while ahead:
+        found |= ahead
+        ahead = {n for c in ahead for n in MADE_OF.get(c, ())} - found
+    return found
+
+
+def process(df: DataFrame, ctx: Context, text: str = "raw", columns: list[str] | None = None) -> DataFrame:
+    """identify, parse, normalize, enrich, validate. Every input row gives one output row.
+
+    With `columns`, only these and what they are made of are computed, and only these returned. The seal behind the parsers
+    keeps the optimizer from finding out itself what nobody reads. Own enrichers may read anything, so with them all is made.
+    """
+    wanted = needed(columns) if columns is not None and not ctx.enrichers else None
     rows = identify(df, ctx.packs, ctx.bindings, text)
-    rows = normalize(rows, ctx.packs, ctx.now_ts, text, ctx.node_id)
-    rows = enrich(rows, ctx.dims, ctx.enrichers)
-    return validate(rows, ctx.now_ns)
+    rows = normalize(rows, ctx.packs, ctx.now_ts, text, ctx.node_id, wanted)
+    rows = enrich(rows, ctx.dims, ctx.enrichers, wanted)
+    rows = validate(rows, ctx.now_ns, wanted)
+    return rows.select(*columns) if columns is not None else rows
 
 
 def flat_columns(df: DataFrame) -> list[Column]:

@@ -271,6 +271,11 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "event_rows", build)
 
 
+def columns_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The same columns of every line as `event_rows` has; where a query reads few of them once, no table of all is written."""
+    return process(raw_events(spark, sf_dir), context(spark, sf_dir), columns=list(columns))
+
+
 def lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table: flat columns and partition columns."""
     rows = event_rows(spark, sf_dir)

@@ -298,7 +298,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     refs = preserved(spark, sf)
-    out = integrity.trace(inputs.lake(spark, sf).select("event_id", "observer_vendor"), integrity.raw_index(refs), integrity.ledger(refs))
+    out = integrity.trace(inputs.columns_of(spark, sf, "event_id", "observer_vendor"), integrity.raw_index(refs), integrity.ledger(refs))
     return out.select("event_id", "observer_vendor", "segment_id", "offset", "sha256", "merkle_root")
 
 

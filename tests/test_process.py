@@ -236,3 +236,24 @@ def test_resolve_marks_entries(spark):
     rows = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "event_id string, resolved boolean")
     ids = spark.createDataFrame([("a",), ("z",), ("a",)], "event_id string")
     assert sorted(map(tuple, dlq.resolve(rows, ids).collect())) == [("a", True), ("b", False), ("c", True)]
+
+
+def test_columns_are_those_of_the_whole_row(spark):
+    iocs = spark.createDataFrame([("203.0.113.5", "bad", 0)], "indicator string, category string, ord long")
+    assets = spark.createDataFrame([("10.0.0.5", "critical", 0)], "ip string, criticality string, ord long")
+    dims = Dimensions.build(iocs=iocs, assets=assets)
+    df = lines(spark, PANOS.format(src="203.0.113.5", sport=1), PANOS.format(src="300.1.1.1", sport=99999), "junk")
+    ctx = Context(now=NOW, dims=dims)
+    full = {r.event_id: r for r in process(df, ctx).collect()}
+    for some in (["event_id"], ["event_id", "enrich_risk_score", "risk_factors"], ["event_id", "quality_score", "violations"], ["event_id", "network_bytes_total", "event_time_skew_ms", "enrich_src_is_internal"]):
+        rows = process(df, ctx, columns=some)
+        assert rows.columns == some
+        got = rows.collect()
+        assert len(got) == 3 and all(r[c] == full[r.event_id][c] for r in got for c in some)
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    # no lookup and no parser for what nobody reads; a filter on the id is below the seal
+    assert "Join" in plan(process(df, ctx, columns=["event_id", "risk_factors"]))
+    assert "Join" not in plan(process(df, ctx, columns=["event_id", "src_ip"])) and "Generate" not in plan(process(df, ctx, columns=["event_id"]))
+    one = plan(process(df, ctx).filter("event_id = 'x'"))
+    assert "'x'" in one or "= x" in one
+    assert one.rindex("= x") > one.rindex("Generate")
