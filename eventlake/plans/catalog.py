@@ -25,7 +25,9 @@ class Catalog:
 
     def stream(self, events: DataFrame, now=None) -> "Catalog":
         now_ns = timefmt.to_ns(now if now is not None else F.current_timestamp())
-        hot_tier(events.select(*STREAM_COLUMNS), now_ns).createOrReplaceTempView("stream_events")
+        # an event table of fewer columns gives a live view of those among them
+        live = [c for c in STREAM_COLUMNS if c in events.columns]
+        hot_tier(events.select(*live), now_ns).createOrReplaceTempView("stream_events")
         return self
 
     def meta(self, **tables: DataFrame) -> "Catalog":

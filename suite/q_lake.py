@@ -38,7 +38,7 @@ def _(spark, sf):
         "UNION ALL SELECT 'historical', n_src_ip, count(*) FROM norm GROUP BY 1, 2", "norm"),
 )
 def _(spark, sf):
-    lake = inputs.lake(spark, sf)
+    lake = inputs.columns_of(spark, sf, "src_ip", "event_ingested_at")
     Catalog(spark).lake(lake).stream(lake, F.timestamp_micros(F.lit(1706572800000000)))
     return lq.hot_and_cold(spark.table("stream_events"), spark.table("lake_events"))
 
