@@ -499,4 +499,4 @@ def _(spark, sf):
 @query("ana21_unseen", sql("SELECT event_id FROM norm WHERE id % 4 > 0", "norm"))
 def _(spark, sf):
     seen = inputs.values(spark, sf).filter(F.col("id") % 4 == 0)
-    return an.unseen(inputs.event_rows(spark, sf).select("event_id"), seen)
+    return an.unseen(inputs.columns_of(spark, sf, "event_id"), seen)
