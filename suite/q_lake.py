@@ -11,7 +11,7 @@ from eventlake.plans import analytics as an
 from eventlake.plans import graph
 from eventlake.plans import lake_queries as lq
 from eventlake.plans.catalog import Catalog
-from eventlake.plans.process import dead_letters
+from eventlake.plans.process import dead_letters, flat_rows, process
 from eventlake.sources.readers import recent_days
 from suite import inputs
 from suite.inputs import NOW
@@ -97,7 +97,9 @@ def _(spark, sf):
 
 @query("qry10_full_record", sql("SELECT event_id, n_src_ip AS src_ip, dst_port, event_action FROM norm WHERE event_id = 'ev-0000000042'", "norm"))
 def _(spark, sf):
-    return lq.by_id(inputs.lake(spark, sf), "ev-0000000042").select("event_id", "src_ip", "dst_port", "event_action")
+    # the whole record is processed, but only that of the event: the filter reaches the source
+    rows = process(inputs.raw_events(spark, sf), inputs.context(spark, sf))
+    return lq.by_id(flat_rows(rows), "ev-0000000042").select("event_id", "src_ip", "dst_port", "event_action")
 
 
 @query("qry12_totals", sql("SELECT coalesce(observer_vendor, 'unknown') AS name, count(*) AS events FROM norm GROUP BY 1", "norm"))
