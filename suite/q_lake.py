@@ -162,8 +162,18 @@ _AGE = 6 * 3600 * timefmt.NS_PER_S
 
 def preserved(spark, sf):
     """Lines with raw references: six-hour segments (stored once)."""
-    build = lambda: integrity.segments(inputs.raw_events(spark, sf), age_ns=_AGE, max_events=1_000_000)
-    return inputs.stored(spark, sf, "raw_refs", build)
+    return inputs.stored(spark, sf, "raw_refs", lambda: placed(spark, sf).drop("listener_id", "peer", "processing_ms", "raw_retrieval_uri"))
+
+
+def placed(spark, sf):
+    """References of all lines, not stored and without payload: for a query that reads some of their columns once."""
+    return integrity.segments(inputs.raw_events(spark, sf), age_ns=_AGE, max_events=1_000_000)
+
+
+def references(spark, sf):
+    """What tells where a line is preserved, without its payload (stored once)."""
+    columns = ["event_id", "received_at", "dt", "raw_sha256", "raw_length", "raw_segment_id", "raw_offset", "raw_seq"]
+    return inputs.stored(spark, sf, "references", lambda: placed(spark, sf).select(*columns))
 
 
 _SEG = {
@@ -241,7 +251,7 @@ def _(spark, sf):
     seg_sql("SELECT event_id, root, CAST(ceil(log2(n)) AS INTEGER) AS steps, true AS verified FROM ordered JOIN leaves USING (seg) JOIN roots USING (seg)"),
 )
 def _(spark, sf):
-    rows = integrity.check_proofs(integrity.proofs(preserved(spark, sf)))
+    rows = integrity.check_proofs(integrity.proofs(references(spark, sf)))
     return rows.select("event_id", "root", F.size("path").alias("steps"), "verified")
 
 
@@ -259,7 +269,7 @@ def _(spark, sf):
 
 @query("int11_uri", seg_sql("SELECT event_id, 's3a://raw-vault/segments/dt=' || substr(seg, 1, 10) || '/' || seg || '.zst' AS uri FROM refs"))
 def _(spark, sf):
-    return preserved(spark, sf).select("event_id", F.col("raw_retrieval_uri").alias("uri"))
+    return placed(spark, sf).select("event_id", F.col("raw_retrieval_uri").alias("uri"))
 
 
 @query("snk5_raw_index", seg_sql("SELECT dt, count(*) AS rows, CAST(sum(len) AS BIGINT) AS bytes FROM (SELECT day AS dt, len FROM ordered) GROUP BY 1"))
@@ -272,7 +282,7 @@ def _(spark, sf):
 def _(spark, sf):
     from eventlake.sources.readers import segments_by_day
 
-    rows = segments_by_day(integrity.ledger(preserved(spark, sf)), "2024-01-05", "2024-01-09")
+    rows = segments_by_day(integrity.ledger(references(spark, sf)), "2024-01-05", "2024-01-09")
     return rows.select("segment_id", "merkle_root", "event_count")
 
 
@@ -299,7 +309,7 @@ def _(spark, sf):
     sql("SELECT norm.event_id, norm.observer_vendor, seg AS segment_id, CAST(off AS BIGINT) AS \"offset\", sha AS sha256, root AS merkle_root FROM norm JOIN ordered USING (event_id) JOIN ledger USING (seg)", "norm", _SEG),
 )
 def _(spark, sf):
-    refs = preserved(spark, sf)
+    refs = references(spark, sf)
     out = integrity.trace(inputs.columns_of(spark, sf, "event_id", "observer_vendor"), integrity.raw_index(refs), integrity.ledger(refs))
     return out.select("event_id", "observer_vendor", "segment_id", "offset", "sha256", "merkle_root")
 

@@ -149,3 +149,13 @@ def test_lines_keep_their_bytes(spark, tmp_path):
     cut = readers.envelope(readers.log_lines(spark, str(tmp_path)), "l", F.current_timestamp(), max_bytes=5)
     short = {bytes(r.b): (r.truncated, r.raw_sha256) for r in cut.select(F.col("raw").cast("binary").alias("b"), "truncated", "raw_sha256").collect()}
     assert short == {x[:5]: (len(x) > 5, hashlib.sha256(x).hexdigest()) for x in want}
+
+
+def test_references_do_not_carry_the_payload(spark):
+    from suite import q_lake
+
+    plan = q_lake.placed(spark, "/root/testdata/sf0.001").select("event_id", "raw_retrieval_uri")._jdf.queryExecution().optimizedPlan().toString()
+    # neither the hash nor the line itself is sorted into segments for a query that reads the place only
+    assert "Window" in plan and "sha2" not in plan
+    refs = q_lake.references(spark, "/root/testdata/sf0.001")
+    assert "raw" not in refs.columns and refs.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
