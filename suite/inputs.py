@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from eventlake import ensure_session
 from eventlake.operators.enrich import Dimensions
+from eventlake.operators.lookup import last_wins
 from eventlake.plans.process import Context, flat_columns, process, with_partitions
 from eventlake.sources.packs import load_packs
 
@@ -224,11 +225,27 @@ def dimensions(spark: SparkSession, sf_dir: str) -> Dimensions:
     """Built once per application: building checks sizes, which runs small jobs."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DIMS:
-        names = ("geo", "asn", "assets", "identities", "iocs", "mitre")
-        _DIMS[key] = Dimensions.build(**{n: dimension(spark, sf_dir, n) for n in names})
+        _DIMS[key] = Dimensions.build(**{n: loaded(spark, sf_dir, n) for n in ("geo", "asn", "assets", "identities", "iocs", "mitre")})
     return _DIMS[key]
 
 
+# lookup tables made from tables that grow, and their keys
+KEYS = {"assets": "ip", "identities": "username", "iocs": "indicator"}
+
+
+def loaded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A lookup table as it is loaded. One that is made from a table that grows is stored with one row per key.
+
+    Its size is then that of its own rows. The optimizer's estimate over the derivation is that of the tables behind it: it
+    made lookups of a few MB join by a shuffle of the whole event rows, and derived the table anew for each of them.
+    """
+    df = dimension(spark, sf_dir, name)
+    if name not in KEYS:
+        return df
+    rows = stored(spark, sf_dir, f"dimension_{name}", lambda: last_wins(df, [KEYS[name]]))
+    return rows.withColumn("ord", F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def packs():
     return load_packs()

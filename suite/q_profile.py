@@ -10,6 +10,7 @@ from eventlake.operators.identify import identify
 from eventlake.operators.parse import extract, parse
 from eventlake.operators.shapes import ecs, nested_json, ocsf
 from eventlake.plans import onboarding as ob
+from eventlake.plans.process import flat_rows, process
 from eventlake.streaming.jobs import quality_drops, resolve_refs, throughput
 from suite import inputs
 from suite.oracle import sql
@@ -23,10 +24,11 @@ r6 = lambda c: F.round(c, 6)
 
 @query("nrm14_nested", sql("SELECT event_id, n_src_ip AS src_ip, CAST(dst_port AS VARCHAR) AS dst_port, parser_id FROM norm", "norm"))
 def _(spark, sf):
-    rows = inputs.lake(spark, sf)
+    # the whole record is rendered as it is processed, without a table of it in between, and each document is read once
+    rows = flat_rows(process(inputs.raw_events(spark, sf), inputs.context(spark, sf)))
     doc = rows.select(nested_json(rows).alias("d"))
-    get = lambda p: F.get_json_object("d", p)
-    return doc.select(get("$.event.id").alias("event_id"), get("$.src.ip").alias("src_ip"), get("$.dst.port").alias("dst_port"), get("$.lineage.parser_id").alias("parser_id"))
+    read = doc.select(F.from_json("d", "event struct<id: string>, src struct<ip: string>, dst struct<port: string>, lineage struct<parser_id: string>").alias("d"))
+    return read.select(F.col("d.event.id").alias("event_id"), F.col("d.src.ip").alias("src_ip"), F.col("d.dst.port").alias("dst_port"), F.col("d.lineage.parser_id").alias("parser_id"))
 
 
 @query(
