@@ -40,12 +40,18 @@ RANGES = {
 SHA256_HEX = r"\A[a-f0-9]{64}\z"
 
 
-def schema_errors() -> list[Column]:
-    """One nullable message per rule."""
+# made by the chain itself as a capped sum of weights, never null and never negative: its rule cannot fail
+OWN = "enrich_risk_score"
+
+
+def schema_errors(skip: tuple[str, ...] = ()) -> list[Column]:
+    """One nullable message per rule, but for rules on the columns of `skip`."""
     out = [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in REQUIRED]
     for c, words in ENUMS.items():
         out.append(F.when(~F.col(c).isin(words.split()), F.lit(f"{c}: not in the allowed set")))
     for c, (lo, hi) in RANGES.items():
+        if c in skip:
+            continue
         bad = F.col(c) < lo if hi is None else ~F.col(c).between(lo, hi)
         out.append(F.when(bad, F.lit(f"{c}: out of range")))
     out.append(F.when(~F.col("raw_sha256").rlike(SHA256_HEX), F.lit("raw_sha256: bad format")))
@@ -79,9 +85,9 @@ def quality(mapped: Column, expected: Column, confidence: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio * confidence)), F.lit(0.0))
 
 
-def violations(now_ns: Column) -> Column:
+def violations(now_ns: Column, skip: tuple[str, ...] = ()) -> Column:
     """ARRAY of {reason, message}. Identification faults stand alone."""
-    errors = schema_errors()
+    errors = schema_errors(skip)
     broken = reduce(lambda a, b: a | b, [e.isNotNull() for e in errors])
     schema = F.when(broken, _violation("schema_violation", F.array_join(F.array_compact(F.array(*errors)), "; ")))
     checks = [schema, bad_port("src_port"), bad_port("dst_port"), bad_ip("src_ip"), bad_ip("dst_ip"), out_of_range(now_ns)]
@@ -92,16 +98,20 @@ def violations(now_ns: Column) -> Column:
 # Columns that validation makes and what it reads for them.
 CHECKS: dict[str, tuple[str, ...]] = {
     "quality_score": ("v_mapped", "v_expected", "v_confidence", "v_fault"),
-    "violations": (*REQUIRED, *ENUMS, *RANGES, "src_ip", "dst_ip", "v_fault"),
+    "violations": (*REQUIRED, *ENUMS, *(c for c in RANGES if c != OWN), "src_ip", "dst_ip", "v_fault"),
 }
 
 
 def validate(df: DataFrame, now_ns: Column, wanted: set[str] | None = None) -> DataFrame:
-    """Add quality_score and violations, or those of them that are wanted."""
+    """Add quality_score and violations, or those of them that are wanted.
+
+    With `wanted`, the chain's own score is not made for its rule alone: the lookups behind it would run for a rule that holds.
+    """
     score = quality(F.col("v_mapped"), F.col("v_expected"), F.col("v_confidence"))
     if wanted is None or "quality_score" in wanted:
         df = df.withColumn("quality_score", F.when(F.col("v_fault").isNotNull(), F.lit(0.0)).otherwise(score))
-    return df.withColumn("violations", violations(now_ns)) if wanted is None or "violations" in wanted else df
+    skip = (OWN,) if wanted is not None and OWN not in wanted else ()
+    return df.withColumn("violations", violations(now_ns, skip)) if wanted is None or "violations" in wanted else df
 
 
 def count_by_reason(df: DataFrame) -> DataFrame:

@@ -1,6 +1,12 @@
 """What queries read decides what is computed: lookup sizes, validation without lookups, narrow stored tables."""
 
+from datetime import datetime, timezone
+
+from pyspark.sql import functions as F
+
 from eventlake.operators.lookup import estimated_bytes
+from eventlake.plans.process import needed
+from eventlake.operators.validate import violations
 from suite import inputs
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +21,13 @@ def test_lookup_tables_have_the_size_of_their_rows(spark):
     many = inputs.dimension(spark, "/root/testdata/sf0.1", "assets")
     stored = inputs.loaded(spark, "/root/testdata/sf0.1", "assets")
     assert estimated_bytes(stored) < estimated_bytes(many)
+
+
+def test_validation_needs_no_lookups(spark):
+    read = needed(["violations"])
+    assert not read & {"enrich_risk_score", "enrich_ioc_match", "dst_asset_critical"}
+    assert "enrich_risk_score" in needed(["violations", "enrich_risk_score"])
+    # the rule stays where the score is there
+    now = F.lit(int(datetime(2024, 1, 31, tzinfo=timezone.utc).timestamp()) * 1_000_000_000)
+    assert "enrich_risk_score" in str(violations(now))
+    assert "enrich_risk_score" not in str(violations(now, ("enrich_risk_score",)))
