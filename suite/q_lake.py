@@ -322,7 +322,9 @@ def _(spark, sf):
 def board(spark, sf):
     """Event rows with their state, and dead letters as rows of their own."""
     cols = ["event_id", "observer_vendor", "event_action", "src_ip", "dst_ip", "event_ingested_at"]
-    live = inputs.event_rows(spark, sf)
+    made_of = [*cols, "enrich_ioc_match", "threat_category", "enrich_risk_score", "lineage_parser_id", "violations"]
+    # stored once: a board is read twice, for its events and its dead letters
+    live = inputs.stored(spark, sf, "board_events", lambda: inputs.columns_of(spark, sf, *made_of))
     ev = live.select(*cols, an.visual_state().alias("state"), F.lit(False).alias("is_dlq"), F.lit(None).cast("string").alias("dlq_reason"))
     dead = dead_letters(live).select(
         "event_id", F.substring_index("lineage_parser_id", ".", 1).alias("observer_vendor"), F.lit(None).cast("string").alias("event_action"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventlake.operators.lookup import estimated_bytes
 from eventlake.plans.process import needed
 from eventlake.operators.validate import violations
-from suite import inputs
+from suite import inputs, q_core, q_lake
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,13 @@ def test_validation_needs_no_lookups(spark):
     now = F.lit(int(datetime(2024, 1, 31, tzinfo=timezone.utc).timestamp()) * 1_000_000_000)
     assert "enrich_risk_score" in str(violations(now))
     assert "enrich_risk_score" not in str(violations(now, ("enrich_risk_score",)))
+
+
+def test_dead_letters_and_board_make_no_table_of_all_columns(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(inputs, "event_rows", lambda *_: (_ for _ in ()).throw(AssertionError("all columns")))
+    monkeypatch.setattr(inputs, "stored", lambda s, d, name, build: made.setdefault(name, build()))
+    q_core.dlq_rows(spark, SF)
+    q_lake.board(spark, SF)
+    assert made["dead_letters"].columns == ["event_id", "raw_ref", "reason", "parser_id", "occurred_at", "resolved"]
+    assert len(made["board_events"].columns) == 11
