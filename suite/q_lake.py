@@ -198,20 +198,20 @@ def _(spark, sf):
 
 @query("int2_segments", seg_sql("SELECT seg AS segment_id, count(*) AS events, CAST(sum(len) AS BIGINT) AS bytes FROM refs GROUP BY 1"))
 def _(spark, sf):
-    rows = preserved(spark, sf)
+    rows = references(spark, sf)
     return rows.groupBy(F.col("raw_segment_id").alias("segment_id")).agg(F.count("*").alias("events"), F.sum("raw_length").alias("bytes"))
 
 
 @query("int3_raw_refs", seg_sql("SELECT event_id, seg AS segment_id, CAST(off AS BIGINT) AS \"offset\", CAST(len AS BIGINT) AS length, CAST(seq AS BIGINT) AS seq FROM ordered"))
 def _(spark, sf):
-    return preserved(spark, sf).select(
+    return references(spark, sf).select(
         "event_id", F.col("raw_segment_id").alias("segment_id"), F.col("raw_offset").alias("offset"), F.col("raw_length").alias("length"), F.col("raw_seq").alias("seq")
     )
 
 
 @query("int4_merkle_roots", seg_sql("SELECT seg AS segment_id, root AS merkle_root FROM roots"))
 def _(spark, sf):
-    return integrity.ledger(preserved(spark, sf)).select("segment_id", "merkle_root")
+    return integrity.ledger(references(spark, sf)).select("segment_id", "merkle_root")
 
 
 @query("ext5_merkle_in_sql", seg_sql("SELECT seg AS segment_id, root AS merkle_root FROM roots"))
@@ -220,18 +220,18 @@ def _(spark, sf):
     return spark.sql(
         "SELECT raw_segment_id AS segment_id, merkle_root(transform(array_sort(array_agg(struct(raw_seq, raw_sha256))), x -> x.raw_sha256)) AS merkle_root "
         "FROM {refs} GROUP BY raw_segment_id",
-        refs=preserved(spark, sf),
+        refs=references(spark, sf),
     )
 
 
 @query("int5_chain", seg_sql("SELECT seg AS segment_id, prev AS prev_root, day AS dt FROM ledger"))
 def _(spark, sf):
-    return integrity.ledger(preserved(spark, sf)).select("segment_id", "prev_root", "dt")
+    return integrity.ledger(references(spark, sf)).select("segment_id", "prev_root", "dt")
 
 
 @query("int6_ledger", seg_sql("SELECT seg AS segment_id, n AS event_count, CAST(bytes AS BIGINT) AS byte_size, sealed AS sealed_at_ns FROM ledger"))
 def _(spark, sf):
-    return integrity.ledger(preserved(spark, sf)).select("segment_id", "event_count", "byte_size", "sealed_at_ns")
+    return integrity.ledger(references(spark, sf)).select("segment_id", "event_count", "byte_size", "sealed_at_ns")
 
 
 @query(
@@ -240,10 +240,14 @@ def _(spark, sf):
     seg_sql("SELECT seg AS segment_id, NOT bool_or(CAST(substr(event_id, 4) AS BIGINT) % 1000 = 500) AS pass, true AS chain_ok FROM ordered GROUP BY 1"),
 )
 def _(spark, sf):
-    rows = preserved(spark, sf)
     hit = F.substring("event_id", 4, 10).cast("long") % 1000 == 500
-    altered = rows.withColumn("raw", F.when(hit, F.concat(F.lit("~"), F.expr("substring(raw, 2)"))).otherwise(F.col("raw")))
-    return integrity.verify(integrity.ledger(rows), altered).select("segment_id", "pass", "chain_ok")
+    altered = F.when(hit, F.concat(F.lit("~"), F.expr("substring(raw, 2)"))).otherwise(F.col("raw"))
+    # stored payloads are hashed where they are read; of a line only its place and its two hashes meet in a segment
+    lines = inputs.raw_events(spark, sf).withColumn("found_sha256", integrity.payload_hash(altered))
+    columns = ["received_at", "dt", "raw_sha256", "raw_length", "raw_segment_id", "raw_seq", "found_sha256"]
+    build = lambda: integrity.segments(lines, age_ns=_AGE, max_events=1_000_000).select(*columns)
+    rows = inputs.stored(spark, sf, "rehashed", build)
+    return integrity.verify(integrity.ledger(rows), rows, found="found_sha256").select("segment_id", "pass", "chain_ok")
 
 
 @query(
@@ -274,7 +278,7 @@ def _(spark, sf):
 
 @query("snk5_raw_index", seg_sql("SELECT dt, count(*) AS rows, CAST(sum(len) AS BIGINT) AS bytes FROM (SELECT day AS dt, len FROM ordered) GROUP BY 1"))
 def _(spark, sf):
-    idx = integrity.raw_index(preserved(spark, sf))
+    idx = integrity.raw_index(references(spark, sf))
     return idx.groupBy("dt").agg(F.count("*").alias("rows"), F.sum("length").alias("bytes"))
 
 
@@ -290,20 +294,20 @@ def _(spark, sf):
 
 def linked(spark, sf):
     """Event rows that carry their raw references."""
-    rows = preserved(spark, sf).select("event_id", "raw_sha256", "raw_segment_id", "raw_offset", "raw_length")
+    rows = references(spark, sf).select("event_id", "raw_sha256", "raw_segment_id", "raw_offset", "raw_length")
     lake = inputs.lake(spark, sf).drop("raw_sha256", "raw_segment_id", "raw_offset", "raw_length")
     return lake.join(rows, "event_id")
 
 
 @query("qry4_custody", seg_sql("SELECT event_id, seg AS raw_segment_id, CAST(off AS BIGINT) AS raw_offset, root AS merkle_root, prev AS prev_root FROM ordered JOIN ledger USING (seg)"))
 def _(spark, sf):
-    refs = preserved(spark, sf)
+    refs = references(spark, sf)
     return lq.custody(refs, integrity.ledger(refs)).select("event_id", "raw_segment_id", "raw_offset", "merkle_root", "prev_root")
 
 
 @query("qry11_vault_chain", seg_sql("SELECT seg AS segment_id, root AS merkle_root FROM ledger ORDER BY sealed DESC, seg DESC LIMIT 20"))
 def _(spark, sf):
-    return lq.vault_chain(integrity.ledger(preserved(spark, sf))).select("segment_id", "merkle_root")
+    return lq.vault_chain(integrity.ledger(references(spark, sf))).select("segment_id", "merkle_root")
 
 
 @query(

@@ -159,3 +159,11 @@ def test_references_do_not_carry_the_payload(spark):
     assert "Window" in plan and "sha2" not in plan
     refs = q_lake.references(spark, "/root/testdata/sf0.001")
     assert "raw" not in refs.columns and refs.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_verify_by_hashes_of_payloads_that_stayed_behind(spark, events):
+    altered = F.when(F.col("event_id") == "e0100", F.lit("x")).otherwise(F.col("raw"))
+    refs = integrity.segments(events.withColumn("found", integrity.payload_hash(altered)), max_events=50).drop("raw").cache()
+    report = integrity.verify(integrity.ledger(refs), refs, found="found").filter("NOT pass").collect()
+    assert [r.segment_id for r in report] == [refs.filter("event_id = 'e0100'").first().raw_segment_id]
+    assert "does not match its stored hash" in report[0].reason
