@@ -72,3 +72,19 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.remove(df, 400, False).collect())
     assert got == [(0, 0, 0), (1, 450, 450), (1, 450, 450), (2, 0, 0)]
     assert suffixes.remove(df.limit(0)).count() == 0
+
+
+def test_documents_split_otherwise_between_scans(spark, tmp_path):
+    texts = corpus(5)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.repartition(8, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    split = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(split, "8")
+        cut = suffixes.remove(spark.read.parquet(f"{tmp_path}/documents.parquet"), 60, False, ["doc_id"])
+        spark.conf.set(split, "1")
+        got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in cut.collect()}
+    finally:
+        spark.conf.unset(split)
+    want = brute([t.encode() for t in texts], 60, False)
+    assert [got[i] for i in range(len(texts))] == want
