@@ -18,7 +18,7 @@ in order, of n and m, are a link if M / (n + m - M) >= 0.8. As shingles in a seq
 longest increasing subsequence.
 
 Defined results: texts without words are alone in their class; ids may be null (they name a class only if all its ids are
-null) or repeat. Documents should be a stored table (rows are known by number).
+null) or repeat. Documents are stored once with a number for each row, by which the steps meet again.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from eventlake.llm.common import raw, stored, words_of
+from eventlake.llm.common import numbered, raw, stored, words_of
 from eventlake.llm.components import components
 
 WORDS = 5
@@ -124,8 +124,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, node, buckets): node is the digest of the words, null where there are none."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    """(row, doc_id, node, buckets) of (row, doc_id, text): node is the digest of the words, null where there are none."""
+    rows = docs.select("row", "doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +279,11 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(row, doc_id, class_id, first): the class of every row, its smallest id, and the row that stands for it."""
+    return _classes(numbered(docs.select("doc_id", "text"), "row"))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The classes of (row, doc_id, text), stored with its numbers, by which the steps meet again."""
     own = stored(sketches(docs))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = stored(own.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rep"), F.first("buckets").alias("buckets")))
@@ -288,7 +293,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = stored(nodes.join(members, F.col("node") == F.col("n"), "left_semi"))
     # one text of each node that shares a bucket
     wanted = shared.select("node", F.col("rep.row").alias("to"))
-    text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    text = docs.select("row", F.col("text").cast("string").alias("text"))
     texts = stored(text.join(wanted, F.col("row") == F.col("to")).select("node", "text"))
     label = linked(shared.select("node", "buckets"), texts)
     tied = label.join(nodes.select(F.col("node").alias("n"), "rep"), F.col("node") == F.col("n")).select("node", "label", "rep")
@@ -307,8 +312,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of smallest id of each class, with the columns of docs."""
-    stay = classes(docs).filter("row = first").select(F.col("row").alias("__to"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(stay, F.col("__row") == F.col("__to"), "left_semi").select(*docs.columns)
+    source = numbered(docs, "__row")
+    stay = _classes(source.select(F.col("__row").alias("row"), "doc_id", "text")).filter("row = first").select(F.col("row").alias("__to"))
+    return source.join(stay, F.col("__row") == F.col("__to"), "left_semi").select(*docs.columns)
 
 

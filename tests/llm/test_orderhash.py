@@ -150,3 +150,26 @@ def test_shingles_in_common():
     a, b = draw(40), draw(25)
     assert orderhash._in_common(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
     assert orderhash._in_common(a, [np.array([9_999], np.uint64)]).sum() == 0
+
+
+def test_documents_split_otherwise_between_scans(spark, tmp_path, monkeypatch):
+    texts = corpus(5)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_classes(texts)
+    split, plain = "spark.sql.files.minPartitionNum", orderhash.stored
+
+    def then_as_one(df):
+        out = plain(df)
+        spark.conf.set(split, "1")
+        return out
+
+    monkeypatch.setattr(orderhash, "stored", then_as_one)
+    try:
+        spark.conf.set(split, "8")
+        got = {r.doc_id: r.class_id for r in orderhash.classes(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+        spark.conf.set(split, "8")
+        kept = sorted(r.doc_id for r in orderhash.keep_one(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
+    finally:
+        spark.conf.unset(split)
+    assert [got[i] for i in range(len(texts))] == want
+    assert kept == sorted(set(want))
